@@ -48,5 +48,12 @@ def numeric_or_given(df: DataFrame, names: Sequence[str] | None) -> list[str]:
     return list(names)
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's correlation over rows where both have values; null without spread, where Spark's own fails in ANSI mode."""
+    there = a.isNotNull() & b.isNotNull()
+    a, b = F.when(there, a), F.when(there, b)
+    return F.try_divide(F.covar_samp(a, b), F.stddev_samp(a) * F.stddev_samp(b))
+
+
 def double(name: str) -> Column:
     return col(name).cast("double")

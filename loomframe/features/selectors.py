@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import col, double, numeric_columns, require
+from ..columns import col, correlation, double, numeric_columns, require
 from ..errors import InvalidArgument
 from ..plans.gram import pairwise
 from .base import Transformer
@@ -48,7 +48,7 @@ def _correlations(df: DataFrame, target: str | None) -> dict[str, float]:
     require(df, target)
     names = numeric_columns(df, [target])
     y = double(target)
-    row = df.agg(*[F.corr(double(n), y) for n in names]).first() if names else ()
+    row = df.agg(*[correlation(double(n), y) for n in names]).first() if names else ()
     return {n: 0.0 if r is None or r != r else r for n, r in zip(names, row, strict=True)}
 
 
@@ -90,7 +90,7 @@ class RFE(_Selector):
     def _fit(self, df: DataFrame, target: str | None) -> dict:
         names = list(self.columns or numeric_columns(df, [target] if target else []))
         require(df, *names, *([target] if target else []))
-        r = pairwise(df, [*names, *([target] if target else [])], F.corr)
+        r = pairwise(df, [*names, *([target] if target else [])], correlation)
         strength = lambda a, b: abs(r[a, b]) if r[a, b] is not None and r[a, b] == r[a, b] else 0.0
         if target:
             own = {n: strength(n, target) for n in names}

@@ -69,7 +69,7 @@ def _infer(df: DataFrame, names: Sequence[str]) -> dict[str, str]:
             "long": c.rlike(_INT) & c.try_cast("bigint").isNotNull(),
             "double": c.rlike(_FLOAT) & c.try_cast("double").isNotNull(),
         }
-        tests += [F.every(t).alias(f"{k}_{i}") for k, t in fits.items()]
+        tests += [F.every(F.when(c.isNotNull(), t)).alias(f"{k}_{i}") for k, t in fits.items()]
     found = df.agg(*tests).first()
     return {n: next((k for k in ("boolean", "long", "double") if found[f"{k}_{i}"]), "string") for i, n in enumerate(names)}
 

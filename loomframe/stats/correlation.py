@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..columns import double, numeric_or_given, require
+from ..columns import correlation, double, numeric_or_given, require
 from ..errors import InvalidArgument
 from ..plans.gram import pairwise
 
@@ -19,7 +19,7 @@ MAX_KENDALL = 20_000
 def pearson(df: DataFrame, x: str, y: str) -> float:
     require(df, x, y)
     known = df.filter(double(x).isNotNull() & double(y).isNotNull())
-    n, r = known.agg(F.count(F.lit(1)), F.corr(double(x), double(y))).first()
+    n, r = known.agg(F.count(F.lit(1)), correlation(double(x), double(y))).first()
     if n < 2 or r is None or r != r:
         raise InvalidArgument("a correlation needs two rows or more, and spread in both columns")
     return r
@@ -80,7 +80,7 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] | None = None, method: str
     """
     names = numeric_or_given(df, columns)
     if method == "pearson":
-        values = pairwise(df, names, F.corr)
+        values = pairwise(df, names, correlation)
     elif method in ("spearman", "kendall"):
         one = spearman if method == "spearman" else kendall
         values = {}
