@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..columns import col, double, numeric_or_given, require
 from ..errors import InvalidArgument
+from ..plans.quantiles import quantiles
 from .base import Transformer
 
 
@@ -80,10 +81,9 @@ class BinDiscretizer(Transformer):
     def _fit(self, df: DataFrame, target: str | None) -> dict:
         names = numeric_or_given(df, self.columns)
         if self.strategy == "uniform":
-            made = [F.array(F.min(double(n)), F.max(double(n))) for n in names]
+            row = df.agg(*[F.array(F.min(double(n)), F.max(double(n))).alias(f"v{i}") for i, n in enumerate(names)]).first()
         else:
-            made = [F.percentile(double(n), F.array(*[F.lit(i / self.n_bins) for i in range(self.n_bins + 1)])) for n in names]
-        row = df.agg(*[m.alias(f"v{i}") for i, m in enumerate(made)]).first()
+            row = quantiles(df, names, [i / self.n_bins for i in range(self.n_bins + 1)]).values()
         edges = {}
         for n, v in zip(names, row, strict=True):
             if v is None or v[0] is None:

@@ -11,9 +11,17 @@ from pyspark.sql import types as T
 
 from ..columns import col, double, numeric_columns, require
 from ..errors import InvalidArgument
+from ..plans.quantiles import quantiles
 from .base import Transformer
 
 
+def _most_frequent(df: DataFrame, name: str):
+    """Counted by all executors; only the winner comes back."""
+    counts = df.filter(col(name).isNotNull()).groupBy(col(name).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    first = counts.orderBy(F.desc("n"), "v").first()
+    return None if first is None else first["v"]
+
+
 class SimpleImputer(Transformer):
     """mean, median, most_frequent (of several the smallest) or constant, for columns that have nulls when fitted."""
 
@@ -31,8 +39,11 @@ class SimpleImputer(Transformer):
             raise InvalidArgument(f"no strategy {self.strategy!r}")
         if self.strategy == "constant":
             return {"values": dict.fromkeys(names, self.fill_value)}
-        make = {"mean": lambda n: F.coalesce(F.avg(double(n)), F.lit(0.0)), "median": lambda n: F.coalesce(F.median(double(n)), F.lit(0.0)), "most_frequent": lambda n: F.mode(col(n), True)}
-        row = df.agg(*[make[self.strategy](n).alias(f"v{i}") for i, n in enumerate(names)]).first()
+        if self.strategy == "median":
+            return {"values": {n: v[0] or 0.0 for n, v in quantiles(df, names, [0.5]).items()}}
+        if self.strategy == "most_frequent":
+            return {"values": {n: _most_frequent(df, n) for n in names}}
+        row = df.agg(*[F.coalesce(F.avg(double(n)), F.lit(0.0)).alias(f"v{i}") for i, n in enumerate(names)]).first()
         return {"values": dict(zip(names, row, strict=True))}
 
     def _transform(self, df: DataFrame) -> DataFrame:

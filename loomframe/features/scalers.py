@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import col, double, numeric_or_given, require
+from ..plans.quantiles import quantiles
 from .base import Transformer
 
 
@@ -101,9 +102,14 @@ class RobustScaler(_Scaler):
     ) -> None:
         self.columns, self.with_centering, self.with_scaling, self.quantile_range = columns, with_centering, with_scaling, list(quantile_range)
 
-    def _stats(self, c: Column) -> dict[str, Column]:
-        q = F.percentile(c, F.array(F.lit(0.5), *[F.lit(float(x)) for x in self.quantile_range]))
-        return {"median": q[0], "iqr": q[2] - q[1]}
+    def _fit(self, df: DataFrame, target: str | None) -> dict:
+        names = [n for n in numeric_or_given(df, self.columns) if self.columns or n != target]
+        found = quantiles(df, names, [0.5, *self.quantile_range])
+        return {
+            "columns": names,
+            "median": {n: v[0] for n, v in found.items()},
+            "iqr": {n: None if v[0] is None else v[2] - v[1] for n, v in found.items()},
+        }
 
     def _scaled(self, c: Column, name: str) -> Column:
         median, iqr = self._of("median", name), self._of("iqr", name)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..columns import col, double, numeric_or_given, require
 from ..errors import InvalidArgument
+from ..plans.quantiles import quantiles
 from ..rows import order_columns
 
 # --- whole frames ---------------------------------------------------------
@@ -37,7 +38,8 @@ def frame_mean(df: DataFrame, *names: str, skipna: bool = True) -> DataFrame:
 
 
 def frame_median(df: DataFrame, *names: str, skipna: bool = True) -> DataFrame:
-    return _one_row(df, numeric_or_given(df, names), lambda n: F.median(col(n)), skipna)
+    found = quantiles(df, numeric_or_given(df, names), [0.5])
+    return _one_row(df, list(found), lambda n: F.max(F.lit(found[n][0]).cast("double")), skipna)
 
 
 def frame_std(df: DataFrame, *names: str, skipna: bool = True) -> DataFrame:
@@ -65,18 +67,21 @@ def quantile(df: DataFrame, q: float, *names: str) -> DataFrame:
     """Exact quantiles with linear interpolation."""
     if not 0 <= q <= 1:
         raise InvalidArgument(f"a quantile is between 0 and 1, not {q}")
-    return _one_row(df, numeric_or_given(df, names), lambda n: F.percentile(double(n), F.lit(q)))
+    found = quantiles(df, numeric_or_given(df, names), [q])
+    return df.sparkSession.createDataFrame([tuple(v[0] for v in found.values())], ", ".join(f"`{n}` double" for n in found))
 
 
 def describe(df: DataFrame, *names: str) -> DataFrame:
-    """One row for each numeric column: column, count, mean, std, min, p25, p50, p75, max; one pass over the data."""
+    """One row for each numeric column: column, count, mean, std, min, p25, p50, p75, max."""
     columns = numeric_or_given(df, names)
     if not columns:
         raise InvalidArgument("there is no numeric column to describe")
 
+    found = quantiles(df, columns, [0.25, 0.5, 0.75])
+
     def stats(n: str) -> Column:
         x = double(n)
-        q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = [F.lit(v).cast("double") for v in found[n]]
         return F.struct(
             F.lit(n).alias("column"), F.count(x).cast("double").alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
             F.min(x).alias("min"), q[0].alias("p25"), q[1].alias("p50"), q[2].alias("p75"), F.max(x).alias("max"),

@@ -242,3 +242,26 @@ def test_distributions(spark):
     m, s = n.sample(spark, 4000, 1).selectExpr("avg(value)", "stddev_samp(value)").first()
     assert abs(m) < 0.1 and abs(s - 1) < 0.1
     assert dist.standard_normal().pdf(0) == pytest.approx(0.3989422804)
+
+
+def test_quantiles_by_counting(make, monkeypatch):
+    import random
+
+    from loomframe.plans import quantiles as q
+
+    monkeypatch.setattr(q, "FEW", 8)
+    monkeypatch.setattr(q, "BINS", 64)
+    r = random.Random(3)
+    data = {
+        "wide": [r.choice([-1, 1]) * 10 ** r.uniform(-300, 300) for _ in range(300)],
+        "ties": [float(r.randint(0, 3)) for _ in range(300)],
+        "near": [1.0 + r.randint(0, 40) * 2**-52 for _ in range(300)],
+        "gaps": [None if r.random() < 0.5 else r.gauss(0, 1) for _ in range(300)],
+    }
+    df = make(**data).coalesce(1).cache()
+    qs = [0, 0.3, 1]
+    got, want = q.quantiles(df, list(data), qs, moderate=10), q.quantiles(df, list(data), qs)
+    df.unpersist()
+    for n in data:
+        assert got[n] == pytest.approx(want[n], rel=1e-12), n
+    assert q.quantiles(df.limit(0), ["ties"], [0.5], moderate=-1) == {"ties": [None]}
