@@ -26,22 +26,49 @@ SPAN = 1 << 22
 _MULTIPLIER, _MASK = 6364136223846793005, (1 << 64) - 1
 
 
+class _Parse:
+    """A parse that can be taken further, and back to where it was."""
+
+    __slots__ = ("at", "hashes", "number")
+
+    def __init__(self) -> None:
+        self.number: dict[int, int] = {}  # (phrase, byte) -> the longer phrase
+        self.hashes = [0x9E3779B97F4A7C15]  # of each phrase, from its bytes alone
+        self.at = 0  # the phrase begun
+
+    def feed(self, data: bytes) -> None:
+        number, hashes, at = self.number, self.hashes, self.at
+        get, n = number.get, len(hashes)
+        for byte in data:
+            key = at << 8 | byte
+            to = get(key)
+            if to is None:
+                number[key] = n
+                n += 1
+                hashes.append((hashes[at] * _MULTIPLIER + byte + 1) & _MASK)
+                at = 0
+            else:
+                at = to
+        self.at = at
+
+    def back(self, phrases: int, at: int) -> None:
+        """To when there were so many phrases, and this one was begun."""
+        forget = self.number.popitem  # the last comes first
+        for _ in range(len(self.number) - phrases):
+            forget()
+        del self.hashes[phrases + 1 :]
+        self.at = at
+
+    def lowest(self, begin: int, size: int) -> np.ndarray:
+        """The signature of the phrases from ``begin`` on."""
+        return np.unique(_mixed(np.array(self.hashes[begin + 1 :], np.uint64)))[:size]
+
+
 def _phrases(data: bytes) -> np.ndarray:
-    """A hash of each phrase of the parse, from the phrase's bytes alone."""
-    number: dict[int, int] = {}
-    hashes = [0x9E3779B97F4A7C15]
-    get, at, n = number.get, 0, 1
-    for byte in data:
-        key = at << 8 | byte
-        to = get(key)
-        if to is None:
-            number[key] = n
-            n += 1
-            hashes.append((hashes[at] * _MULTIPLIER + byte + 1) & _MASK)
-            at = 0
-        else:
-            at = to
-    return np.array(hashes[1:], np.uint64)
+    """A hash of each phrase of the parse."""
+    parse = _Parse()
+    parse.feed(data)
+    return np.array(parse.hashes[1:], np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -55,10 +82,16 @@ def signature(text: str, size: int = SIZE) -> np.ndarray:
     data = text.encode("utf-8", "surrogatepass")
     low = np.empty(0, np.uint32)
     for begin in range(0, len(data), SPAN):
-        low = np.unique(np.concatenate([low, _mixed(_phrases(data[begin : begin + SPAN]))]))[:size]
+        parse = _Parse()
+        parse.feed(data[begin : begin + SPAN])
+        low = _merged(low, parse.lowest(0, size), size)
     return low
 
 
+def _merged(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    return np.union1d(a, b)[:size]
+
+
 def as_text(sig: np.ndarray) -> str:
     return base64.b64encode(sig.astype("<u4").tobytes()).decode()
 
@@ -98,15 +131,44 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-_COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-_TYPES = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+class _Row:
+    """A text, its signature, and its parse up to where an edit begins, kept for the edited text."""
+
+    __slots__ = ("low", "parse", "sig", "text")
+
+    def __init__(self, text: str, size: int) -> None:
+        self.text, self.parse = text, None
+        head = text[: len(text) - len(text) // 3].encode("utf-8", "surrogatepass")
+        rest = text[len(text) - len(text) // 3 :].encode("utf-8", "surrogatepass")
+        if len(head) + len(rest) > SPAN // 2:
+            self.sig = signature(text, size)
+            return
+        parse = self.parse = _Parse()
+        parse.feed(head)
+        phrases, at = len(parse.number), parse.at
+        self.low = parse.lowest(0, size)
+        parse.feed(rest)
+        self.sig = _merged(self.low, parse.lowest(phrases, size), size)
+        parse.back(phrases, at)
+
+    def compared(self, following: _Row, size: int) -> tuple:
+        other = edited(self.text, following.text)
+        data = other.encode("utf-8", "surrogatepass")
+        if other == self.text:
+            sig = self.sig
+        elif self.parse is None or len(data) > SPAN:
+            sig = signature(other, size)
+        else:
+            phrases = len(self.parse.number)
+            self.parse.feed(following.text[: len(self.text) // 3].encode("utf-8", "surrogatepass"))
+            sig = _merged(self.low, self.parse.lowest(phrases, size), size)
+        sha = hashlib.sha256(data).digest()
+        return len(self.text), sha, self.sig.tobytes(), sig.tobytes(), likeness(self.sig, sig, size), likeness(self.sig, following.sig, size)
 
 
-def _compared(text: str, sig: np.ndarray, following: str, next_sig: np.ndarray, size: int) -> tuple:
-    other = edited(text, following)
-    other_sig = sig if other == text else signature(other, size)
-    sha = hashlib.sha256(other.encode("utf-8", "surrogatepass")).hexdigest()
-    return len(text), sha, as_text(sig), as_text(other_sig), likeness(sig, other_sig, size), likeness(sig, next_sig, size)
+#: As they are between tasks; fingerprints and digests become text at the end.
+_COLUMNS = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+_TYPES = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -139,21 +201,20 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         none = (None,) * len(_COLUMNS)
         before = None
         for b in batches:
-            ids, rows = b.column(0), []
-            slots = []
+            ids, rows, slots = b.column(0), [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                s = signature(t, size)
+                row = _Row(t, size)
                 if before is None:
                     rows.append((pid, 1, *none, t))
                     slots.append(ids.slice(i, 1))
                 else:
-                    rows.append((pid, 0, *_compared(before[1], before[2], t, s, size), None))
+                    rows.append((pid, 0, *before[1].compared(row, size), None))
                     slots.append(before[0])
-                before = (ids.slice(i, 1), t, s)
+                before = (ids.slice(i, 1), row)
             if rows:
                 yield _batch(slots, rows, names)
         if before is not None:
-            yield _batch([before[0]], [(pid, 2, *none, before[1])], names)
+            yield _batch([before[0]], [(pid, 2, *none, before[1].text)], names)
 
     found = materialise(dealt.mapInArrow(run, types), "lz")
     inside = found.filter("kind = 0")
@@ -165,15 +226,19 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [_compared(t, signature(t, size), h, signature(h, size), size) for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            rows = [_Row(t, size).compared(_Row(h, size), size) for t, h in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             if rows:
                 yield _batch([b.column(0)], rows, ["id", *_COLUMNS])
 
     rest = met.mapInArrow(finish, f"id {kind}, {_TYPES}")
-    return inside.select("id", *_COLUMNS).unionAll(rest).withColumnRenamed("id", id_col)
+    whole = inside.select("id", *_COLUMNS).unionAll(rest)
+    line = lambda c: F.replace(F.base64(c), F.lit("\r\n"), F.lit(""))
+    texts = {"edited_sha256": F.lower(F.hex("edited_sha256")), "fingerprint": line("fingerprint"), "edited_fingerprint": line("edited_fingerprint")}
+    return whole.select(F.col("id").alias(id_col), *[texts.get(c, F.col(c)).alias(c) for c in _COLUMNS])
 
 
 def _batch(ids: list, rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = {"pid": pa.int32(), "kind": pa.int32(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
+    kinds |= dict.fromkeys(("edited_sha256", "fingerprint", "edited_fingerprint"), pa.binary())
     columns = [pa.array(c, kinds.get(k, pa.string())) for k, c in zip(names[1:], zip(*rows, strict=True), strict=True)]
     return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], names=names)
