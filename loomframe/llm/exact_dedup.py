@@ -90,6 +90,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first = F.struct((-F.col("n")).alias("n"), F.col("id").isNull().alias("x"), F.col("id"), F.col("uid"))
     groups = rows.groupBy("recipe").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
     several = groups.filter("group_size > 1").select("recipe", F.col("first.id").alias("g_id"), F.col("first.uid").alias("g_uid"), "group_size")
+    # Written, so that the join deals out rows anew and may split a large group among tasks.
+    several = materialise(several, "groups")
     out = rows.join(several, "recipe", "left")
     alone = F.col("g_uid").isNull()
     return out.select(
