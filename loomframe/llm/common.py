@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
+_MADE: dict[str, list[str]] = {}
+#: What one partition of a range holds: bytes of the input as stored, and the most partitions made.
+PARTITION_BYTES, MOST_PARTITIONS = 128 << 20, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,17 +42,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     before, and values such as row numbers made on the way stay as they are.
     """
     path = new_path(df.sparkSession, tag)
+    _MADE.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`materialise` made for this application."""
-    base = _OWN_DIRS.pop(spark.sparkContext.applicationId, None)
-    if base:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(base)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete every table that :func:`materialise` made for this application. Frames that read them can't be used any more."""
+    sc = spark.sparkContext
+    own = _OWN_DIRS.pop(sc.applicationId, None)
+    for name in [*_MADE.pop(sc.applicationId, []), *([own] if own else [])]:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def partitions_for(df: DataFrame) -> int:
+    """Partitions for a range over ``df``: the session's number for shuffles, or more if the input is large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, least, min(-(-size // PARTITION_BYTES), MOST_PARTITIONS))
 
 
 def fresh(names: Iterable[str], wanted: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise, text_of
+from .common import col, materialise, partitions_for, text_of
 
 #: Hashes in a fingerprint.
 SIZE = 64
@@ -188,7 +188,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     source = docs.select(col(id_col).alias("id"), text_of(text_col).alias("t"))
     kind = source.schema["id"].dataType.simpleString()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions_for(source)
     order = [F.desc_nulls_last("id"), F.xxhash64("t")]
     dealt = source.repartitionByRange(n, *order).sortWithinPartitions(*order, "t")
     names = ["id", "pid", "kind", *_COLUMNS, "text"]

@@ -30,6 +30,8 @@ SEED = 42
 WIDTHS, STARTS = (22, 21, 21), (0, 22, 43)
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones by words between.
 BUCKET = 256
+#: Fingerprints whose keys, about 32 each, make a partition.
+PRINTS = 100_000
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -230,7 +232,8 @@ def fuzzy_links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
             yield from _pairs([f], [], [])
 
     keys = prints.select("f").mapInArrow(make, "k long, f long")
-    n = max(1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    least = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, least, -(-prints.count() // PRINTS))
     return keys.repartitionByRange(n, "k", "f").sortWithinPartitions("k", "f").mapInArrow(link, "a long, b long")
 
 
