@@ -10,6 +10,7 @@ sequence it fits. Pieces then find their place by the rank within their length.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import defaultdict
@@ -28,8 +29,6 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words remembered by a worker: two generations of so many.
 CACHE = 250_000
-#: Rows that are ranked together.
-GROUP = 50_000
 
 
 # --- tokens ---------------------------------------------------------------
@@ -258,7 +257,7 @@ def intervals(combinations: list[tuple[tuple[int, ...], int]]) -> tuple[np.ndarr
 
 
 def pack(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, group: int = GROUP
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, group: int | None = None
 ) -> DataFrame:
     """Each piece of each row of ``docs`` with its sequence and its offset there.
 
@@ -274,8 +273,9 @@ def pack(
     counts = {r["length"]: r["count"] for r in made.groupBy("length").count().collect()}  # at most `capacity` rows
     rows = sum(counts.values())
     keys, shift, offset = intervals(plan(counts, capacity))
-    # Ranks within a length: groups of a bounded size, each after those before it.
-    parts = max(1, -(-rows // group))
+    # Ranks within a length, however common it is: ranks in groups, each after the groups before it.
+    # By default a length has about as many groups as a group has rows, so that neither grows faster than the root of all rows.
+    parts = max(1, -(-rows // (group or math.isqrt(rows) + 1)))
     dealt = made.withColumn("part", F.pmod("h", F.lit(parts)))
     from pyspark.sql import Window as W
 
