@@ -135,7 +135,7 @@ class EWM(Window):
     def _fold(self, values: Column) -> Column:
         """The recursion over values in order, the first as its start."""
         a = F.lit(self.alpha)
-        return F.aggregate(F.slice(values, F.lit(2), F.size(values)), values[0], lambda y, x: a * x + (1 - a) * y)
+        return F.aggregate(F.slice(values, F.lit(2), F.size(values)), F.get(values, F.lit(0)), lambda y, x: a * x + (1 - a) * y)
 
     def _make(self, name: str, f: str) -> DataFrame:
         require(self.df, name)
@@ -148,13 +148,12 @@ class EWM(Window):
             order = self._partitioned()
             counted = self.df.withColumn("_c", F.count(x).over(order.rowsBetween(W.unboundedPreceding, 0)))
             back = W.partitionBy(*[col(p) for p in self.partition_by]).orderBy("_c").rangeBetween(-reach, 0)
-            pairs = F.array_sort(F.collect_list(F.when(x.isNotNull(), F.struct(F.col("_c"), x.alias("x")))).over(back))
-            values = F.transform(pairs, lambda p: p["x"])
-            return counted.withColumn(out, F.when(F.col("_c") > 0, self._fold(values))).drop("_c")
+            listed = counted.withColumn("_l", F.collect_list(x).over(back))  # in order, nulls left out; named, so that it is made once
+            return listed.withColumn(out, F.when(F.col("_c") > 0, self._fold(F.col("_l")))).drop("_c", "_l")
         rows, added = self._with_rows()
         known = with_row_id(rows.filter(x.isNotNull()).select(col(ROW).alias("_at"), x.alias("_x")), "_at", "_c")
-        folded = halo.bounded(known, "_c", reach, 0, {"_y": lambda w: self._fold(F.collect_list("_x").over(w))})
-        made = rows.join(folded.select(F.col("_at").alias(ROW), "_y"), ROW, "left")
+        listed = halo.bounded(known, "_c", reach, 0, {"_l": lambda w: F.collect_list("_x").over(w)})
+        made = rows.join(listed.select(F.col("_at").alias(ROW), self._fold(F.col("_l")).alias("_y")), ROW, "left")
         made = halo.from_start(made, ROW, {out: ("last", F.col("_y"))}).drop("_y")
         made = made.select(*[col(c) for c in rows.columns], col(out))
         return made.drop(ROW) if added else made
