@@ -38,14 +38,19 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _TO_BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
+def words_of(text: str) -> list[bytes]:
+    """The words of a text: ASCII blanks part them, and A to Z are lowered."""
+    # UTF-8 keeps ASCII bytes apart from all others.
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_TO_BLANK).split(b" ")
+    return [w for w in words if w]
+
+
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     """The SimHash of a text: bit k is 1 if set in over half the XXH64 of its shingles.
 
     No words give 0; fewer words than a shingle needs are one shingle.
     """
-    # Blanks part words, and UTF-8 keeps ASCII bytes apart from all others.
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).translate(_TO_BLANK).split(b" ")
-    words = [w for w in words if w]
+    words = words_of(text)
     if not words:
         return 0
     if len(words) <= shingle:
