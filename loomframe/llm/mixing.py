@@ -26,9 +26,13 @@ BUDGET = 0.8
 
 
 def topic_of(text: Column, topics: int = TOPICS) -> Column:
-    """A stand-in where documents carry no topic: the bucket of the first long word; null without one."""
-    word = F.regexp_extract(F.lower(text), r"\p{L}{6,}", 0)
-    return F.when(word != "", F.concat(F.lit("t"), F.pmod(F.xxhash64(word), F.lit(topics)).cast("string")))
+    """A stand-in where documents carry no topic: of the whole text's long words the bucket that has most, of several the smallest; null without one."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}{6,}"), F.lit(0))
+    buckets = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(topics)))
+    # An array of one, so that the buckets are named and made once.
+    counts = F.transform(F.array(buckets), lambda b: F.transform(F.sequence(F.lit(0), F.lit(topics - 1)), lambda k: F.struct(F.size(F.filter(b, lambda x: x == k)).alias("n"), (-k).alias("k"))))
+    best = F.array_max(counts[0])
+    return F.when(best["n"] > 0, F.concat(F.lit("t"), (-best["k"]).cast("string")))
 
 
 def tokens_of(text: Column) -> Column:

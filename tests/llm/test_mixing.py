@@ -56,6 +56,17 @@ def test_edges(spark):
     assert mixing.mix_documents(frame(spark, [])).count() == 0 and mixing.sample_mix(frame(spark, [])).count() == 0
 
 
+def test_a_topic_is_that_of_the_whole_text(spark):
+    r = random.Random(8)
+    pool = ["opening", *("".join(r.choice("abcdeÉ") for _ in range(8)) for _ in range(40))]
+    texts = [" ".join(["opening", *(r.choice(pool).upper() for _ in range(r.randint(0, 60)))]) for _ in range(60)] + ["", "short words only", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    bucket = {w["w"]: w["b"] for w in spark.createDataFrame([(w.lower(),) for w in pool], "w string").selectExpr("w", "pmod(xxhash64(w), 8) AS b").collect()}
+    for text, topic in df.select("t", mixing.topic_of(F.col("t"))).collect():
+        found = [bucket[w] for w in (text or "").lower().split() if w in bucket]
+        assert topic == (f"t{max(range(8), key=lambda k: (found.count(k), -k))}" if found else None)
+
+
 def test_plan_has_no_python(spark):
     df = mixing.mix_documents(frame(spark, corpus(50)))
     plan = df._jdf.queryExecution().executedPlan().toString()
