@@ -808,19 +808,23 @@ def regression_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.regression_metrics(found, "l_extendedprice", "prediction")
 
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The embeddings with a column for each element, and the columns' names."""
+    x = table(spark, sf_dir, "embeddings")
+    names = [f"e{i}" for i in range(x.agg(F.max(F.size("embedding"))).first()[0] or 0)]
+    return x.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)]), names
 
 
 @query()
 def kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _vectors(spark, sf_dir)
-    return cluster.KMeans(4, features=[f"e{i}" for i in range(8)]).fit(x).predict(x).select("vec_id", "prediction")
+    x, names = _vectors(spark, sf_dir)
+    return cluster.KMeans(4, features=names).fit(x).predict(x).select("vec_id", "prediction")
 
 
 @query()
 def pca(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decomposition.PCA(2, features=[f"e{i}" for i in range(8)]).fit_transform(_vectors(spark, sf_dir)).select("vec_id", "PC1", "PC2")
+    x, names = _vectors(spark, sf_dir)
+    return decomposition.PCA(2, features=names).fit_transform(x).select("vec_id", "PC1", "PC2")
 
 
 @query(

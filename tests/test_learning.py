@@ -265,3 +265,16 @@ def test_quantiles_by_counting(make, monkeypatch):
     for n in data:
         assert got[n] == pytest.approx(want[n], rel=1e-12), n
     assert q.quantiles(df.limit(0), ["ties"], [0.5], moderate=-1) == {"ties": [None]}
+
+
+def test_vector_queries_use_every_element(spark, tmp_path):
+    from loomframe import queries
+
+    r = np.random.default_rng(4)
+    x = r.normal(0, 0.01, (40, 12))
+    x[:, 11] += np.repeat([0.0, 10.0, 20.0, 40.0], 10)
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    first = [row["PC1"] for row in queries.pca(spark, str(tmp_path)).orderBy("vec_id").collect()]
+    assert first == pytest.approx(list(x[:, 11] - x[:, 11].mean()), abs=0.2)
+    found = [row["prediction"] for row in queries.kmeans(spark, str(tmp_path)).orderBy("vec_id").collect()]
+    assert all(len(set(found[k : k + 10])) == 1 for k in range(0, 40, 10)) and len(set(found)) > 1
