@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..columns import correlation, double, numeric_or_given, require
 from ..errors import InvalidArgument
 from ..plans.gram import pairwise
 
-#: Rows that Kendall's count of all pairs takes at most.
-MAX_KENDALL = 20_000
+#: Rows in a range of Kendall's count, and the most ranges of a column.
+BUCKET, MAX_RANGES = 100_000, 1_000
 
 
 def pearson(df: DataFrame, x: str, y: str) -> float:
@@ -47,17 +47,70 @@ def spearman(df: DataFrame, x: str, y: str) -> float:
     return pearson(ranks(ranks(known, "x", "rx"), "y", "ry"), "rx", "ry")
 
 
-def kendall(df: DataFrame, x: str, y: str, limit: int = MAX_KENDALL) -> float:
-    """Tau-a: concordant less discordant pairs over all pairs. All pairs are looked at, so rows are limited, and more are refused."""
+def _score(x: np.ndarray, y: np.ndarray, c: np.ndarray) -> int:
+    """Concordant less discordant pairs of distinct (x, y) that occur c times.
+
+    Two ranks of y differ first in one bit: for each bit, those that agree above
+    it are ordered by x, and running sums count the pairs that it parts.
+    """
+    xr, yr = np.unique(x, return_inverse=True)[1], np.unique(y, return_inverse=True)[1]
+    total, wide = 0, int(xr.max(initial=0)) + 1
+    for bit in range(int(yr.max(initial=0)).bit_length()):
+        group = yr >> (bit + 1)
+        order = np.argsort(group * wide + xr, kind="stable")
+        g, key, up = group[order], (group * wide + xr)[order], (yr[order] >> bit) & 1
+        low = np.concatenate([[0], np.cumsum(np.where(up == 0, c[order], 0))])
+        before = low[np.searchsorted(key, key)] - low[np.searchsorted(g, g)]
+        after = low[np.searchsorted(g, g, "right")] - low[np.searchsorted(key, key, "right")]
+        total += int((np.where(up == 1, c[order], 0) * (before - after)).sum())
+    return total
+
+
+def kendall(df: DataFrame, x: str, y: str, bucket: int = BUCKET) -> float:
+    """Tau-a: concordant less discordant pairs over all pairs, exactly and without making pairs.
+
+    Both columns are cut into ranges of about ``bucket`` rows. Pairs that differ
+    in both ranges are counted from the ranges' rows; the others by one task for
+    each range of x and of y, less those that agree in both, which are counted twice.
+    """
     require(df, x, y)
     known = df.filter(double(x).isNotNull() & double(y).isNotNull()).select(double(x).alias("x"), double(y).alias("y"))
-    n = known.count()
-    if n < 2 or n > limit:
-        raise InvalidArgument(f"Kendall's tau takes 2 to {limit} rows, not {n}")
-    numbered = known.select("x", "y", F.row_number().over(W.orderBy("x", "y")).alias("i"))
-    other = F.broadcast(numbered.toDF("x2", "y2", "j"))  # no more than ``limit`` rows
-    pairs = numbered.join(other, F.col("i") < F.col("j"))
-    s = pairs.agg(F.sum(F.signum(F.col("x2") - F.col("x")) * F.signum(F.col("y2") - F.col("y")))).first()[0]
+    n, odd = known.agg(F.count(F.lit(1)), F.count(F.when(F.isnan("x") | F.isnan("y"), 1))).first()
+    if n < 2:
+        raise InvalidArgument(f"Kendall's tau takes 2 rows or more, not {n}")
+    if odd:
+        return float("nan")
+    parts = min(-(-n // bucket), MAX_RANGES)
+    cuts = [np.unique(q) for q in known.approxQuantile(["x", "y"], [k / parts for k in range(1, parts)], 0.1 / parts)] if parts > 1 else [np.empty(0)] * 2
+
+    def place(batches):
+        for b in batches:
+            for name, cut in zip("xy", cuts, strict=True):
+                # A value that is a cut has a range of its own, however common it is.
+                b[f"{name}b"] = (np.searchsorted(cut, b[name]) + np.searchsorted(cut, b[name], "right")).astype(np.int64)
+            yield b
+
+    counts = known.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"))
+    placed = counts.mapInPandas(place, "x double, y double, c long, xb long, yb long").persist()
+
+    def score(rows):
+        import pandas as pd
+
+        return pd.DataFrame({"s": [_score(rows["x"].to_numpy(), rows["y"].to_numpy(), rows["c"].to_numpy())]})
+
+    def within(*keys: str) -> int:
+        # Ranges of one value, and so without pairs that count, are left out.
+        rows = placed
+        for k in keys:
+            rows = rows.filter(F.pmod(k, F.lit(2)) == 0)
+        return rows.groupBy(*keys).applyInPandas(score, "s long").agg(F.sum("s")).first()[0] or 0
+
+    try:
+        cells = placed.groupBy("xb", "yb").agg(F.sum("c").alias("c")).toPandas()
+        s = _score(cells["xb"].to_numpy(), cells["yb"].to_numpy(), cells["c"].to_numpy())
+        s += within("xb") + within("yb") - within("xb", "yb")
+    finally:
+        placed.unpersist()
     return s / (n * (n - 1) / 2)
 
 

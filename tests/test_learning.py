@@ -278,3 +278,15 @@ def test_vector_queries_use_every_element(spark, tmp_path):
     assert first == pytest.approx(list(x[:, 11] - x[:, 11].mean()), abs=0.2)
     found = [row["prediction"] for row in queries.kmeans(spark, str(tmp_path)).orderBy("vec_id").collect()]
     assert all(len(set(found[k : k + 10])) == 1 for k in range(0, 40, 10)) and len(set(found)) > 1
+
+
+def test_kendall_counts_any_number_of_rows(spark):
+    r = np.random.default_rng(5)
+    v, w = r.integers(0, 60, 700).astype(float), r.normal(0, 1, 700).round(1)
+    v[:200] = 7.0
+    df = spark.createDataFrame(list(zip(v.tolist(), w.tolist(), strict=True)), "v double, w double")
+    tau = (np.sign(v[:, None] - v) * np.sign(w[:, None] - w)).sum() / (700 * 699)
+    for bucket in (40, 1000):
+        assert correlation.kendall(df, "v", "w", bucket) == pytest.approx(tau, abs=1e-12)
+    many = spark.range(20_001).selectExpr("double(id) AS v", "-double(id) AS w")
+    assert correlation.corr_matrix(many, ["v", "w"], "kendall").first()["w"] == -1
