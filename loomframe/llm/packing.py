@@ -3,13 +3,15 @@
 Token sequences are counted by length. Because there are at most as many
 lengths as a sequence has tokens, the plan is made from those counts alone,
 however large the corpus is: which combinations of lengths share a sequence, and
-how often. Gaps are first filled exactly by one, two or three lengths whose sum
-is indexed, under the counts still available; what is left goes to the fullest
-sequence it fits. Pieces then find their place by the rank within their length.
+how often. An index holds the sums of single lengths, pairs and triples; gaps are
+first filled exactly by what it has under their sum and the counts still
+available, and what is left goes to the fullest sequence it fits. Pieces then
+find their place by the rank within their length.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -29,17 +31,37 @@ END = 1
 TOKENIZER = "word_bpe_49k.json"
 #: Words remembered by a worker: two generations of so many.
 CACHE = 250_000
+#: The rules of a tokenizer file under which a text's ids are those of its words.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+    "model": {
+        "type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>",
+        "fuse_unk": False, "byte_fallback": False, "ignore_merges": False,
+    },
+}
 
 
 # --- tokens ---------------------------------------------------------------
 
 
 class _Words:
-    """Token ids of words, remembered within a bound.
+    """Token ids of texts, just as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    The tokenizer drops white space, and what stands on either side of it is
-    encoded alike alone or together; so the ids of a text are those of its words
-    in a row.
+    The default vocabulary's added tokens stand alone wherever a text spells
+    them, and its tokenizer drops white space; what stands on either side of
+    either is encoded alike alone or together. So the ids of a text are those
+    of its words in a row, and words are remembered within a bound. A file with other
+    rules (:data:`RULES`) gets whole texts encoded.
     """
 
     SIMPLE = re.compile(r"[ɐ-\U0010ffffİ]")
@@ -49,14 +71,36 @@ class _Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.model = self.tokenizer.model
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        added = told.get("added_tokens") or []
+        plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+        model = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges")}
+        self.whole = not plain or {k: told.get(k) for k in RULES if k != "model"} | {"model": model} != RULES
+        if self.whole:
+            return
+        self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in added}
+        self.cut = re.compile("|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))) if added else None
+        self.between = Tokenizer.from_file(path)
+        self.between.encode_special_tokens = True  # the strings of added tokens are cut out before; what lower case makes of others is no added token
+        self.model = self.between.model
         self.bytes_of = _byte_letters()
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         """The ids of a text as little-endian 32-bit numbers."""
+        if self.whole:
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.cut is None or not self.cut.search(text):
+            return self._span(text)
+        out, at = [], 0
+        for m in self.cut.finditer(text):
+            out += [self._span(text[at : m.start()]), self.added[m[0]]]
+            at = m.end()
+        return b"".join([*out, self._span(text[at:])])
+
+    def _span(self, text: str) -> bytes:
         if not self.SIMPLE.search(text):  # elsewhere lower case may depend on what stands around
             text = self.TAIL.sub(r" \1", text.lower())
         words = text.replace("\n", " ").split(" ")
@@ -81,7 +125,7 @@ class _Words:
             letters = word.encode().decode("latin-1").translate(self.bytes_of)
             ids = [t.id for t in self.model.tokenize(letters)]
         else:
-            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = self.between.encode(word, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
 
@@ -103,11 +147,13 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """``id``, ``piece``, ``start``, ``length``, ``ids_crc32``: each text's ids and the end id, cut at ``capacity``.
 
+    ids are those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``;
     tokenizer: a path that every executor has; by default the public vocabulary
-    installed beside the Python packages, looked up on the executor.
+    installed beside the Python packages, looked up on the executor. Any file of
+    that library will do; ``end`` is the id put after a text.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -117,11 +163,11 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(tokenizer or tokenizer_path())
-        end = np.asarray([END], "<u4").tobytes()
+        last = np.asarray([end], "<u4").tobytes()
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
             for i, t in enumerate(b.column(1).to_pylist()):
-                ids = words.ids(t) + end
+                ids = words.ids(t) + last
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     row.append(i)
@@ -154,58 +200,91 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[i
     return out
 
 
+class SumIndex:
+    """Available lengths by the sums that one, two or three of them make.
+
+    Pairs are kept by sum, with the number of those still available under each;
+    a triple is found under its sum by its largest member, which leads to the pair
+    under what remains. Counts only fall, so pairs are never added.
+    """
+
+    def __init__(self, have: np.ndarray) -> None:
+        self.have, top = have, len(have) - 1
+        self.alive = have > 0
+        self.double = have > 1
+        lengths = np.flatnonzero(self.alive)
+        larger, sums = [], []
+        for a in lengths.tolist():
+            b = lengths[: np.searchsorted(lengths, min(a, top - a), side="right")]
+            if len(b) and b[-1] == a and not self.double[a]:
+                b = b[:-1]
+            larger.append(np.full(len(b), a, np.int32))
+            sums.append((a + b).astype(np.int32))
+        sums = np.concatenate(sums) if sums else np.empty(0, np.int32)
+        order = np.argsort(sums, kind="stable")  # under a sum, the larger members ascend
+        self.larger = np.concatenate(larger)[order] if larger else sums
+        self.first = np.searchsorted(sums[order], np.arange(top + 2))
+        self.live = np.bincount(sums, minlength=top + 1)
+
+    def take(self, combination: list[int], times: int) -> None:
+        """Lower the counts, and unlist the pairs that this uses up."""
+        for x in combination:
+            self.have[x] -= times
+        top = len(self.have) - 1
+        for x in set(combination):
+            if self.double[x] and self.have[x] < 2:
+                self.double[x] = False
+                if 2 * x <= top:
+                    self.live[2 * x] -= 1
+            if self.alive[x] and not self.have[x]:
+                self.alive[x] = False
+                self.live[np.flatnonzero(self.alive[: max(top - x + 1, 0)]) + x] -= 1
+
+    def single(self, total: int, most: int) -> list[int] | None:
+        """The length ``total``, if available and not above ``most``."""
+        return [total] if 0 < total <= most and self.have[total] else None
+
+    def pair(self, total: int, most: int) -> list[int] | None:
+        """Two available lengths of this sum, neither above ``most``, the larger one as large as can be."""
+        if total < 2 or not self.live[total]:
+            return None
+        a = self.larger[self.first[total] : self.first[total + 1]]
+        b = total - a
+        fits = np.flatnonzero((a <= most) & (self.have[b] > 0) & (self.have[a] > (a == b)))
+        return [int(a[fits[-1]]), int(b[fits[-1]])] if len(fits) else None
+
+    def triple(self, total: int, most: int) -> list[int] | None:
+        """Three available lengths of this sum, none above ``most``, the largest as large as can be."""
+        low, high = -(-total // 3), min(most, total - 2)
+        if high < low:
+            return None
+        a = np.flatnonzero(self.have[low : high + 1] > 0) + low
+        for x in a[self.live[total - a] > 0][::-1].tolist():
+            self.have[x] -= 1
+            rest = self.pair(total - x, x)
+            self.have[x] += 1
+            if rest:
+                return [x, *rest]
+        return None
+
+
 def _fill_exactly(have: np.ndarray, capacity: int, out: list) -> None:
     """Use up lengths, the largest first, in combinations of two to four whose sum is the capacity."""
+    index = SumIndex(have)
     for length in range(capacity - 1, 0, -1):
         while have[length]:
-            combination = _complement(have, length, capacity - length)
-            if combination is None:
+            gap = capacity - length
+            have[length] -= 1
+            rest = index.single(gap, length) or index.pair(gap, length) or index.triple(gap, length)
+            have[length] += 1
+            if rest is None:
                 break
-            need = np.bincount(combination)
-            times = int((have[: len(need)][need > 0] // need[need > 0]).min())
-            have[: len(need)] -= times * need
+            combination = [length, *rest]
+            times = min(int(have[x]) // combination.count(x) for x in set(combination))
+            index.take(combination, times)
             out.append((tuple(combination), times))
 
 
-def _complement(have: np.ndarray, length: int, gap: int) -> list[int] | None:
-    """``length`` with one, two or three lengths not above it that fill the gap and are available, the largest first."""
-    have[length] -= 1
-    try:
-        top = min(gap, length)
-        if gap <= length and have[gap]:
-            return [length, gap]
-        there = np.flatnonzero(have[: top + 1])[::-1]
-        there = there[there > 0]
-        pair = _pair(have, there, gap)
-        if pair:
-            return [length, *pair]
-        for a in there:
-            if a * 3 < gap:
-                break
-            if a < gap:
-                have[a] -= 1
-                rest = there[(there <= a) & (have[there] > 0)]
-                pair = _pair(have, rest, gap - int(a))
-                have[a] += 1
-                if pair:
-                    return [length, int(a), *pair]
-        return None
-    finally:
-        have[length] += 1
-
-
-def _pair(have: np.ndarray, there: np.ndarray, gap: int) -> list[int] | None:
-    """Two lengths of ``there`` (descending) that sum to ``gap``."""
-    b = gap - there
-    fits = (b > 0) & (b <= there)
-    a, b = there[fits], b[fits]
-    if len(a):
-        k = np.flatnonzero((have[b] > 0) & ((a != b) | (have[a] > 1)))
-        if len(k):
-            return [int(a[k[0]]), int(b[k[0]])]
-    return None
-
-
 def _fill_best(have: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best-fit decreasing over counts: equal sequences are kept together, by the gap they leave."""
     gaps: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)

@@ -10,20 +10,103 @@ from loomframe.llm import packing
 
 
 @pytest.fixture(scope="module")
-def words():
-    return packing._words(packing.tokenizer_path())
+def untouched():
+    from tokenizers import Tokenizer
 
+    return Tokenizer.from_file(packing.tokenizer_path())
 
-@settings(max_examples=300, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from("abcXYZéßİΣσς'.,-!? \t\n\r\x0b\x1c\u00a0\u2003\u0301日本1290|<>endoftext"), st.characters(codec="utf-8")), max_size=80))
-def test_words_alone_encode_like_the_text(words, text):
-    want = words.tokenizer.encode(text, add_special_tokens=False).ids
-    assert np.frombuffer(words.ids(text), "<u4").tolist() == want
+
+@pytest.fixture(scope="module")
+def words(untouched):
+    """Ids by a tokenizer of its own, as the contract calls it."""
+    return lambda text: untouched.encode(text, add_special_tokens=False).ids
+
+
+def ids(text):
+    return np.frombuffer(packing._words(packing.tokenizer_path()).ids(text), "<u4").tolist()
+
+
+LETTERS = st.text(alphabet=st.one_of(st.sampled_from("abcXYZéßİΣσς'.,-!? \t\n\r\x0b\x1c\u00a0\u2003\u0301日本1290|<>endoftext"), st.characters(codec="utf-8")), max_size=40)
+ADDED = st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "|endoftext|>", "<|endoftext|>." , "'s", "</w>", " "])
+
+
+@settings(max_examples=1500, deadline=None)
+@given(st.lists(st.one_of(LETTERS, ADDED), max_size=6).map("".join))
+def test_ids_are_those_of_the_untouched_tokenizer(words, text):
+    assert ids(text) == words(text)
 
 
 def test_known_texts(words):
-    for text in ["I'll go. Don't, stop... x.y 12,5 ÀÉÎ naïve.", "<|endoftext|> <|startoftext|>", "A.\nB,\tC.", "ſ K Å", "ª º ŉ ǰ"]:
-        assert np.frombuffer(words.ids(text), "<u4").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["I'll go. Don't, stop... x.y 12,5 ÀÉÎ naïve.", "<|endoftext|> <|startoftext|>", "A.\nB,\tC.", "ſ K Å", "ª º ŉ ǰ", "a<|endoftext|>b.<|endoftext|>", "word.<|startoftext|>", "\u0301<|endoftext|>\u0301e"]
+    for text in texts:
+        assert ids(text) == words(text)
+    assert ids("<|endoftext|> hi") == [49407, 1883]
+
+
+def test_many_random_texts(words):
+    r = random.Random(3)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "hello", "World.", "it's", "é", "e\u0301", "ΣΑΣ", "日本", "12", ",", " ", "\n", "  ", "\u2003", "<|", "|>", "İ"]
+    for _ in range(20_000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 12)))
+        assert ids(text) == words(text), text
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_vocabularies(name):
+    from tokenizers import Tokenizer
+
+    path = packing.tokenizer_path(name)
+    other = Tokenizer.from_file(path)
+    for text in ["Hello  World\n it's<|endoftext|> so", "", " a", "ÀÉ 日本"]:
+        assert np.frombuffer(packing._words(path).ids(text), "<u4").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+def brute_exact(have, capacity):
+    """Any combination of two to four of what is left that sums to the capacity."""
+    from itertools import combinations_with_replacement
+
+    for k in (2, 3, 4):
+        for c in combinations_with_replacement([n for n in range(len(have)) if have[n]], k):
+            if sum(c) == capacity and all(c.count(x) <= have[x] for x in c):
+                return c
+    return None
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 23), st.integers(1, 4), max_size=12))
+def test_no_exact_combination_is_left(counts):
+    have = np.zeros(25, np.int64)
+    for n, c in counts.items():
+        have[n] = c
+    before, out = have.copy(), []
+    packing._fill_exactly(have, 24, out)
+    assert brute_exact(have.tolist(), 24) is None
+    for combination, times in out:
+        assert sum(combination) == 24 and times > 0
+        for n in combination:
+            before[n] -= times
+    assert (before == have).all() and (have >= 0).all()
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 20), st.integers(1, 3), max_size=10), st.lists(st.integers(1, 20), max_size=8))
+def test_the_index_knows_every_sum(counts, taken):
+    from itertools import combinations_with_replacement
+
+    have = np.zeros(31, np.int64)
+    for n, c in counts.items():
+        have[n] = c
+    index = packing.SumIndex(have)
+    for n in taken:
+        if have[n]:
+            index.take([n], 1)
+    there = [n for n in range(31) if have[n]]
+    for k, find in ((1, index.single), (2, index.pair), (3, index.triple)):
+        sums = {sum(c) for c in combinations_with_replacement(there, k) if all(c.count(x) <= have[x] for x in c)}
+        for total in range(31):
+            got = find(total, 30)
+            assert (got is not None) == (total in sums)
+            assert got is None or sum(got) == total and all(got.count(x) <= have[x] for x in got)
 
 
 @settings(max_examples=60, deadline=None)
@@ -67,7 +150,7 @@ def check(rows, docs, words, capacity):
     want = []
     for i, ts in texts.items():
         for t in ts:
-            ids = [*np.frombuffer(words.ids(t), "<u4").tolist(), packing.END]
+            ids = [*words(t), packing.END]
             for k, s in enumerate(range(0, len(ids), capacity)):
                 part = ids[s : s + capacity]
                 want.append((i is None, i or 0, k, s, len(part), zlib.crc32(np.asarray(part, "<u4").tobytes())))
