@@ -22,7 +22,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     edges = materialise(_smaller_second(links), "links")
     seen = None
     for _ in range(MAX_ROUNDS):
-        edges = materialise(_small_star(_large_star(edges)), "links")
+        edges = materialise(_small_star(materialise(_large_star(edges), "links")), "links")
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
@@ -40,12 +40,13 @@ def _smaller_second(links: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour larger than a node is linked to the node's smallest neighbour or itself."""
     both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    # Written, so that the join deals out links anew and may split those of a hub among tasks.
+    least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    least = materialise(edges.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionAll(least.select("a", F.col("m").alias("b"))).filter("a <> b").distinct()

@@ -1,8 +1,8 @@
 """Near-duplicate detection: SimHash fingerprints joined by Golay-code fuzzy keys.
 
 Fingerprints of 64 bits are cut into three segments. If two fingerprints differ
-in at most two bits, then among the three segments there is one without an
-error and another one with at most one. So a key is an ordered pair of segments:
+in at most two bits, then in the ring of the three segments there is one without
+an error whose successor has at most one. So a key is such a pair of segments:
 the first verbatim, the second as the index of a nearby codeword of the perfect
 binary Golay code. A 23-bit word within distance 2 of its codeword is
 covered by it together with all its neighbours; a word at distance 3 gets the
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, keep_rows, materialise, row_keys, text_of
+from .common import col, materialise, row_keys, text_of
 from .components import connected_components
 
 SHINGLE = 3
@@ -30,8 +30,8 @@ SEED = 42
 WIDTHS, STARTS = (22, 21, 21), (0, 22, 43)
 #: Buckets of up to so many fingerprints are compared pair by pair; larger ones by words between.
 BUCKET = 256
-#: Fingerprints whose keys, about 32 each, make a partition.
-PRINTS = 100_000
+#: Fingerprints whose keys, about 16 each, make a partition.
+PRINTS = 200_000
 #: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1 generates the binary Golay code of length 23.
 GENERATOR = 0b101011100011
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -144,11 +144,10 @@ def fuzzy_keys(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near = [nearby(p) for p in parts]
     at, keys = [], []
     for i in range(3):
-        for j in range(3):
-            if i != j:
-                row, k = np.nonzero(near[j] >= 0)
-                at.append(row)
-                keys.append(((i * 3 + j) << 40) | (parts[i][row] << 12) | near[j][row, k])
+        j = (i + 1) % 3
+        row, k = np.nonzero(near[j] >= 0)
+        at.append(row)
+        keys.append((i << 40) | (parts[i][row] << 12) | near[j][row, k])
     return np.concatenate(at), np.concatenate(keys)
 
 
@@ -283,7 +282,9 @@ def simhash_groups(
     prints = materialise(rows.groupBy("f").agg(least.alias("least")), "distinct")
     linked = near_components(prints.select("f"), bucket)
     of = prints.join(linked.withColumnRenamed("node", "f"), "f", "left").select("f", "least", F.coalesce("component", "f").alias("c"))
-    first = of.groupBy("c").agg(F.min("least").alias("first"))
+    # Written, so that the join may split a component of many fingerprints among tasks.
+    of = materialise(of, "members")
+    first = materialise(of.groupBy("c").agg(F.min("least").alias("first")), "firsts")
     out = rows.join(of.join(first, "c").select("f", "first"), "f")
     same = (F.col("_k1") == F.col("first._k1")) & (F.col("_k2") == F.col("first._k2"))
     return out.select(
@@ -296,7 +297,21 @@ def simhash_groups(
     )
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, that with the smallest id; all columns kept."""
-    keep = simhash_groups(docs, id_col, text_col).filter("stays")
-    return keep_rows(docs, keep, id_col, text_col, once=True)
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """``docs`` with one document of each group of near copies, that with the smallest id; all columns kept.
+
+    Near copies have word shingles of a Jaccard similarity of ``similarity`` or
+    more. Fingerprints that Golay keys bring together are candidates, and so are
+    sets that agree in a band of minima: at 0.8, fingerprints differ in about
+    ten bits, which the keys do not reach (:mod:`.shingles`). Every link is
+    verified on the whole sets of shingles.
+
+    Null text counts as empty; documents without words are alike. A null id is
+    larger than all others. Repeated rows stay once. An empty table gives an
+    empty table. Other columns are kept and ignored whatever their names.
+    """
+    from .shingles import drop_similar
+
+    return drop_similar(docs, id_col, text_col, words, similarity)

@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from loomframe.llm import shingles
+from loomframe.llm import shingles, simhash
 
 
 def brute(text, k=5):
@@ -61,6 +61,17 @@ def test_no_similar_pair_stays_and_none_goes_without_one(docs_of, group, clashin
     assert set(component.values()) <= set(stay)  # the smallest id of each
 
 
+def test_a_large_group_beside_a_common_passage(docs_of):
+    """Near copies of one text leave its first; documents that share a passage, and no more, all stay."""
+    r = random.Random(32)
+    base = [f"b{j}" for j in range(80)]
+    rows = [(j, " ".join([*base, f"end{j}"])) for j in range(400)]
+    passage = " ".join(f"p{j}" for j in range(60))
+    rows += [(1000 + j, passage + " " + " ".join(f"w{r.randint(0, 10**6)}" for _ in range(80))) for j in range(200)]
+    kept = simhash.drop_near_copies(docs_of(rows))
+    assert sorted(x["doc_id"] for x in kept.collect()) == [0, *range(1000, 1200)]
+
+
 def test_the_stage_takes_what_simhash_let_pass(docs_of):
     words = [f"w{j}" for j in range(200)]
     other = [*words[:60], "edit", *words[61:140], "edit", *words[141:]]
@@ -74,4 +85,29 @@ def test_edges(docs_of):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, "x y z"), (None, "x y z")]
     assert shingles.drop_similar(docs_of(rows)).count() == 2
     assert shingles.drop_similar(docs_of([])).count() == 0
-    assert [shingles.prefix_length(n, 0.8) for n in (0, 1, 5, 10)] == [0, 1, 2, 3]
+
+
+def test_shingle_sets_by_hand():
+    import xxhash
+
+    for text in ["", " \n", "One", "a b c d", "a b c d e", "A b\x0bC d e f g a b c d e f", "x" * 100_000, "w " * 70_000 + "end"]:
+        want = {xxhash.xxh64_intdigest(" ".join(x).encode(), 42) for x in brute(text)}
+        got = shingles.shingle_set(text)
+        assert {int(x) % 2**64 for x in got} == want and list(got) == sorted(got)
+        ones = [sum(h >> k & 1 for h in want) for k in range(64)]
+        assert shingles.set_print(got) % 2**64 == sum(1 << k for k in range(64) if 2 * ones[k] > len(want))
+
+
+def test_recall_of_candidates():
+    """Pairs at the threshold itself share a band and come near enough in their fingerprints."""
+    import numpy as np
+
+    r, missed, far = np.random.default_rng(5), 0, 0
+    random64 = lambda k: r.integers(-(2**63), 2**63, k, dtype=np.int64)
+    for n in (4, 9, 45, 450) * 500:
+        both = random64(4 if n == 4 else 8 * n // 9)
+        own = (0, 1) if n == 4 else (n - len(both), n - len(both))  # 4 of 5, or 8 of 10 parts are shared
+        a, b = (np.unique(np.concatenate([both, random64(k)])) for k in own)
+        missed += not len(np.intersect1d(shingles.band_keys(a), shingles.band_keys(b)))
+        far += ((shingles.set_print(a) ^ shingles.set_print(b)) % 2**64).bit_count() > shingles.APART
+    assert missed <= 2 and far <= 2  # of 2,000; expected are 0.15 and 0.01
