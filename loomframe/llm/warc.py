@@ -1,16 +1,17 @@
 """WARC archives: a writer that deduplicates payloads, and a salvaging reader.
 
-Records are gzip members of their own, so that a damaged archive can be read
-on from the next sound one. The reader checks every record; where a check fails
-it looks for the next member that decompresses to a version line (or, in plain
-archives, for the next version line), goes on from there, and logs the bytes
-between as a gap.
+Records are written as gzip members of their own, so that a damaged archive can
+be read on from the next sound one. The reader checks every record, of which a
+member may hold several; where a check fails it looks for the next member (or,
+in plain archives and within a member, for the next version line), goes on from
+there, and logs the bytes between as a gap.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialise, new_path
+from .common import MOST_PARTITIONS, col, materialise, new_path
 
 VERSION = b"WARC/1.1"
 MAGIC = b"\x1f\x8b\x08"
@@ -30,7 +31,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2020-01-01T00:00:00Z"
 #: An archive is closed once it is so large.
 ARCHIVE_BYTES = 64 << 20
-BLOCK = 1 << 20
+BLOCK, CHUNK = 1 << 20, 1 << 16
 #: A record is given up, and its bytes are a gap, once its headers or its content exceed this.
 MAX_HEADER, MAX_CONTENT = 1 << 20, 1 << 31
 _URN = "urn:x-page:"
@@ -89,6 +90,10 @@ def member(data: bytes) -> bytes:
 # --- the salvaging reader -------------------------------------------------
 
 
+_VERSION_LINE = re.compile(rb"WARC/1\.")
+_MARK = re.compile(rb"\x1f\x8b\x08|WARC/1\.")
+
+
 class _Bytes:
     """A stream that can be read again from any place not yet let go."""
 
@@ -98,7 +103,7 @@ class _Bytes:
     def need(self, end: int) -> bool:
         """Hold the bytes up to the absolute place ``end``; false if there are fewer."""
         while not self.over and self.base + len(self.held) < end:
-            more = self.stream.read(max(BLOCK, end - self.base - len(self.held)))
+            more = self.stream.read(BLOCK)
             if more:
                 self.held += more
             else:
@@ -109,17 +114,33 @@ class _Bytes:
         return bytes(self.held[begin - self.base : end - self.base])
 
     def drop(self, before: int) -> None:
-        del self.held[: before - self.base]
-        self.base = before
+        if before > self.base:
+            del self.held[: before - self.base]
+            self.base = before
 
-    def find(self, what: bytes, begin: int) -> int:
-        """The first place at or after ``begin`` of ``what``, or -1."""
+    def find(self, what: bytes, begin: int, limit: int) -> int:
+        """The first place from ``begin`` of ``what``, which ends by ``limit``; or -1."""
         while True:
-            at = self.held.find(what, begin - self.base)
+            at = self.held.find(what, begin - self.base, limit - self.base)
             if at >= 0:
                 return self.base + at
-            begin = max(begin, self.base + len(self.held) - len(what) + 1)
-            if not self.need(self.base + len(self.held) + 1):
+            end = self.base + len(self.held)
+            begin = max(begin, end - len(what) + 1)
+            if end >= limit or not self.need(end + 1):
+                return -1
+
+    def mark(self, pattern: re.Pattern, begin: int) -> int:
+        """The first place from ``begin`` of a mark of seven bytes at most, or -1; what lies before it is let go."""
+        while True:
+            found = pattern.search(self.held, begin - self.base) if begin >= self.base else None
+            if found:
+                at = self.base + found.start()
+                self.drop(at)
+                return at
+            end = self.base + len(self.held)
+            begin = max(begin, end - 6)
+            self.drop(min(begin, end))
+            if not self.need(end + 1):
                 return -1
 
     def end(self) -> int:
@@ -128,25 +149,33 @@ class _Bytes:
         return self.base + len(self.held)
 
 
-def _inflate(source: _Bytes, begin: int) -> tuple[bytes, int]:
-    """A gzip member's content and the place after it; ValueError if it isn't sound."""
-    z, out, at, size = zlib.decompressobj(31), [], begin, 0
-    while not z.eof:
-        if not source.need(at + 1):
-            raise ValueError("the member ends early")
-        part = bytes(source.held[at - source.base : at - source.base + BLOCK])
-        try:
-            got = z.decompress(part)
-        except zlib.error as e:
-            raise ValueError(str(e)) from e
-        if not out and got and not VERSION.startswith(got[:5]) and not got.startswith(b"WARC/"):
-            raise ValueError("no version line")
-        out.append(got)
-        size += len(got)
-        if size > MAX_CONTENT + MAX_HEADER:
-            raise ValueError("the record is too large")
-        at += len(part) - len(z.unused_data)
-    return b"".join(out), at
+class _Inflated:
+    """What the gzip member at ``at`` holds, as a stream; ``fault`` tells why it ended before the member did."""
+
+    def __init__(self, source: _Bytes, at: int) -> None:
+        self.source, self.at, self.z, self.fault = source, at, zlib.decompressobj(31), ""
+        self.chunk = at  # where the compressed bytes being inflated begin
+
+    def read(self, size: int) -> bytes:
+        while not self.z.eof and not self.fault:
+            part = self.z.unconsumed_tail
+            if not part:
+                if not self.source.need(self.at + 1):
+                    self.fault = "the member ends early"
+                    break
+                self.chunk = self.at
+                part = self.source.cut(self.at, self.at + CHUNK)
+                self.at += len(part)
+            try:
+                got = self.z.decompress(part, size)
+            except zlib.error as e:
+                self.fault = str(e)
+                break
+            if self.z.eof:
+                self.at -= len(self.z.unused_data)
+            if got:
+                return got
+        return b""
 
 
 def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -172,14 +201,12 @@ def _parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _one(source: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
-    if not source.need(at + 3):
-        raise ValueError("too short")
-    if source.cut(at, at + 3) == MAGIC:
-        data, end = _inflate(source, at)
-        return *_parse(data), end
-    head = source.find(b"\r\n\r\n", at) if source.need(at + 7) and source.cut(at, at + 7) == b"WARC/1." else -1
-    if head < 0 or head - at > MAX_HEADER:
+    """The record at a version line, and the place after it; ValueError if it isn't sound."""
+    if not source.need(at + 7) or source.cut(at, at + 7) != b"WARC/1.":
         raise ValueError("no version line")
+    head = source.find(b"\r\n\r\n", at, at + MAX_HEADER)
+    if head < 0:
+        raise ValueError("the headers do not end")
     sizes = [x[15:].strip() for x in source.cut(at, head).lower().split(b"\r\n") if x.startswith(b"content-length:")]
     if len(sizes) != 1 or not sizes[0].isdigit() or int(sizes[0]) > MAX_CONTENT:
         raise ValueError("the length is wrong")
@@ -189,26 +216,67 @@ def _one(source: _Bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return *_parse(source.cut(at, end)), end
 
 
+class _Member:
+    """The records of the gzip member at ``begin``; where it fails, ``resume`` is a place before which nothing is lost."""
+
+    def __init__(self, source: _Bytes, begin: int) -> None:
+        self.source, self.begin, self.resume, self.end, self.bad = source, begin, begin, begin, ""
+
+    def records(self) -> Iterator[tuple[dict[str, str], bytes]]:
+        """Each record is given out once the next one, or the member's end, has proved sound; ValueError where the member isn't."""
+        stream = _Inflated(self.source, self.begin)
+        inner, at, pending, place, n = _Bytes(stream), 0, None, self.begin, 0
+        while at >= 0 and inner.need(at + 1):
+            try:
+                headers, block, end = _one(inner, at)
+            except ValueError as e:
+                self.bad = self.bad or str(e)
+                at = inner.mark(_VERSION_LINE, at + 1)
+                continue
+            if pending:
+                yield pending
+                self.resume = place
+                self.source.drop(place)
+            pending, place, at, n = (headers, block), stream.chunk, end, n + 1
+            inner.drop(end)
+        if stream.fault:
+            raise ValueError(stream.fault)
+        self.end = stream.at
+        if pending:
+            yield pending
+        if not n:
+            self.bad = self.bad or "no version line"
+
+
 def salvage(stream: BinaryIO) -> Iterator[tuple]:
-    """("record", offset, headers, block) for each sound record and ("gap", begin, end, reason) for bytes that aren't."""
+    """("record", offset, headers, block) for each sound record and ("gap", begin, end, reason) for bytes that aren't.
+
+    A record's offset is that of its gzip member, if it has one. Memory holds one
+    record, as stored and as inflated, beside some blocks.
+    """
     source, at, lost, reason = _Bytes(stream), 0, None, ""
-    while source.need(at + 1):
+    while at >= 0 and source.need(at + 1):
+        zipped = source.need(at + 3) and source.cut(at, at + 3) == MAGIC
+        member = _Member(source, at)
         try:
-            headers, block, end = _one(source, at)
+            if zipped:
+                found = member.records()
+            else:
+                headers, block, member.end = _one(source, at)
+                found = iter([(headers, block)])
+            for headers, block in found:
+                if lost is not None:
+                    yield "gap", lost, at, reason
+                    lost = None
+                yield "record", at, headers, block
         except ValueError as e:
             if lost is None:
-                lost, reason = at, str(e)
-            nexts = [x for x in (source.find(MAGIC, at + 1), source.find(b"WARC/1.", at + 1)) if x >= 0]
-            if not nexts:
-                break
-            at = min(nexts)
-            source.drop(at)
+                lost, reason = member.resume, str(e)
+            at = source.mark(_MARK, member.resume + 1)
             continue
-        if lost is not None:
-            yield "gap", lost, at, reason
-            lost = None
-        yield "record", at, headers, block
-        at = end
+        if member.bad and lost is None:
+            lost, reason = at, member.bad
+        at = member.end
         source.drop(at)
     if lost is not None:
         yield "gap", lost, source.end(), reason
@@ -242,9 +310,12 @@ def write_archives(
     where = path or new_path(pages.sparkSession, "warc")
     payload = F.coalesce(col(payload_col).cast("string"), F.lit(""))
     source = pages.select(col(id_col).cast("string").alias("id"), col(id_col).alias("order"), col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    hashed = source.withColumn("sha", F.unhex(F.sha1(F.col("payload").cast("binary"))))
+    raw = F.col("payload").cast("binary")
+    # Equal lengths, SHA-1 and SHA-256: payloads made to collide under SHA-1 alone are told apart.
+    hashed = source.withColumn("sha", F.concat(F.unhex(F.sha1(raw)), F.unhex(F.sha2(raw, 256)), F.unhex(F.lpad(F.hex(F.octet_length("payload").cast("long")), 16, "0"))))
     counted = hashed.filter(F.octet_length("payload") >= F.lit(least)).groupBy("sha").agg(F.max("order").alias("top"), F.count("*").alias("n"))
-    first = counted.filter("n > 1").select("sha", F.col("top").cast("string").alias("first"))
+    # Written, so that the join deals out rows anew and may split those of a common payload among tasks.
+    first = materialise(counted.filter("n > 1").select("sha", F.col("top").cast("string").alias("first")), "firsts")
     joined = hashed.join(first, "sha", "left").select(
         "id", "url", "payload", F.when(F.col("first") != F.coalesce("id", F.lit("null")), F.col("first")).alias("refers_to")
     )
@@ -291,7 +362,9 @@ def read_archives(archives: DataFrame, path_col: str = "archive", payloads: bool
     ``entry`` is ``record`` or ``gap``; a record has ``offset``, ``type``,
     ``record_id``, ``target_uri``, ``payload_bytes``, ``payload_digest``,
     ``refers_to`` and, on demand, ``payload``; a gap has ``offset``, ``end`` and
-    ``reason``. An archive is streamed: memory holds one record at a time. An empty file has no rows.
+    ``reason``. An archive is streamed: memory holds one record at a time. An empty file has no rows,
+    a null path is skipped, and a path that comes twice is read twice. Other columns are ignored
+    whatever their names. Every archive is a task of its own, up to MOST_PARTITIONS tasks.
     """
     columns = "archive string, entry string, offset long, end long, reason string, type string, record_id string, target_uri string, payload_bytes long, payload_digest string, refers_to string, payload binary"
     schema = pa.schema(
@@ -320,7 +393,9 @@ def read_archives(archives: DataFrame, path_col: str = "archive", payloads: bool
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return archives.select(col(path_col)).repartition(path_col).mapInArrow(run, columns)
+    paths = archives.select(col(path_col).cast("string")).dropna()
+    # One task deals out the list of paths, a name for every 64 MB, so that it is dealt evenly; an exchange with a number of its own isn't merged.
+    return paths.coalesce(1).repartition(max(1, min(paths.count(), MOST_PARTITIONS))).mapInArrow(run, columns)
 
 
 def page_id_of(record_id):

@@ -120,3 +120,54 @@ def test_damage_anywhere_loses_no_more_than_what_it_hits():
         found, gaps, _ = read(whole[:at] + bytes([whole[at] ^ (1 << r.randrange(8))]) + whole[at + 1 :])
         hit = next(k for k, e in enumerate(ends) if at < e)
         assert set(f"<urn:x-page:{k}>" for k in range(8) if k != hit) <= set(found) and len(gaps) <= 1
+
+
+def test_several_records_a_member():
+    raw, packed = members(9)
+    together = warc.member(b"".join(raw[1:5]))
+    assert read(packed[0] + together + packed[5])[:2] == ([f"<urn:x-page:{i}>" for i in range(6)], [])
+    # A record damaged within a sound member costs itself alone; the gap names the member.
+    inside = warc.member(raw[1] + raw[2].replace(b"body 2", b"BODY 2", 1) + raw[3])
+    found, gaps, _ = read(packed[0] + inside + packed[5])
+    assert found == [f"<urn:x-page:{i}>" for i in (0, 1, 3, 5)] and gaps == [(len(packed[0]), len(packed[0]) + len(inside))]
+    # A whole archive in one member that breaks off: all but what the break hits.
+    r = random.Random(4)
+    many = [warc.page_record(str(i), None, (p := r.randbytes(100_000)), warc.digest(p), None) for i in range(20)]
+    whole = warc.member(b"".join(many))
+    found, gaps, _ = read(whole[: len(whole) * 3 // 4] + packed[0])
+    assert found[:13] == [f"<urn:x-page:{i}>" for i in range(13)] and found[-1] == "<urn:x-page:0>" and len(gaps) == 1
+
+
+def test_memory_stays_bounded_after_damage(monkeypatch):
+    r = random.Random(6)
+    packed = [warc.member(warc.page_record(str(i), None, (p := r.randbytes(60_000)), warc.digest(p), None)) for i in range(1150)]
+    data = b"junk" + b"".join(packed[:3]) + b"\x00" * 100 + b"".join(packed[3:])
+    assert len(data) > 64 << 20
+    most, need = [0], warc._Bytes.need
+
+    def watched(self, end):
+        found = need(self, end)
+        most[0] = max(most[0], len(self.held))
+        return found
+
+    monkeypatch.setattr(warc._Bytes, "need", watched)
+    found, gaps, covered = read(data)
+    assert len(found) == 1150 and covered == 104 and most[0] < 3 << 20
+
+
+def test_every_archive_is_a_task(spark):
+    rows = [(i, f"u{i}", f"page {i} " * 20) for i in range(200)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), archive_bytes=1)
+    assert archives.count() == 200
+    back = warc.read_archives(archives)
+    parts = back.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(parts) == 200
+
+
+def test_a_payload_of_many_copies(spark):
+    rows = spark.range(50_000).selectExpr("id AS page_id", "concat('u', id) AS url", "IF(id % 3 = 0, 'the common page', concat('page ', id)) AS html")
+    back = warc.read_archives(warc.write_archives(rows)).filter("type <> 'warcinfo'")
+    got = {r["type"]: r["n"] for r in back.groupBy("type").count().withColumnRenamed("count", "n").collect()}
+    again = (50_000 + 2) // 3 - 1
+    assert got == {"revisit": again, "response": 50_000 - again}
+    assert [r[0] for r in back.select("refers_to").distinct().dropna().collect()] == ["<urn:x-page:49998>"]
