@@ -11,11 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col
+from .common import col, fresh, materialise
 
 #: The table's size, a prime much larger than the number of shards.
 SLOTS = 65_537
 SHARDS = 64
+#: The table is broadcast, so no more slots than this are allowed.
+MAX_SLOTS = 1 << 22
 
 
 def _number(text: str, salt: int) -> int:
@@ -26,6 +28,8 @@ def _number(text: str, salt: int) -> int:
 
 def fill_table(shards: list[str], slots: int = SLOTS, weights: list[float] | None = None) -> list[int]:
     """The position in ``shards`` of each slot's owner. ``slots`` is a prime of at least the number of shards."""
+    if slots > MAX_SLOTS:
+        raise ValueError(f"{slots} slots are more than {MAX_SLOTS}")
     if slots < 2 or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError(f"{slots} is not a prime")
     if not shards or len(set(shards)) < len(shards) or len(shards) > slots:
@@ -82,8 +86,40 @@ def assign_shards(
 
 
 def write_shards(df: DataFrame, path: str, keys: list[str], shards: int = SHARDS, slots: int = SLOTS, parts_each: int = 1) -> None:
-    """Write ``df`` to ``path``, one folder a shard, each of ``parts_each`` files however unevenly rows fall."""
-    table = F.broadcast(slot_table(df.sparkSession, [f"shard-{k:05d}" for k in range(shards)], slots)).select("slot", F.col("shard_name"))
-    marked = df.withColumn("slot", F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(slots))).join(table, "slot").drop("slot")
-    salt = F.pmod(F.xxhash64(F.lit(7), *[col(k) for k in keys]), F.lit(parts_each))
-    marked.repartition(shards * parts_each, "shard_name", salt).write.partitionBy("shard_name").parquet(path)
+    """Write ``df`` to ``path``, one folder a shard (``shard_name=...``), each of ``parts_each`` files however unevenly keys fall.
+
+    Rows are dealt to a shard's files in turn, whatever their keys, so that a key
+    that holds most rows is still spread. All columns are kept as they are; if one
+    is itself named ``shard_name``, the folders' name gets an underscore after it.
+    Null keys hash like any value, repeated rows are all written, a shard without
+    rows gets no folder, and an empty table gives an empty folder.
+    """
+    spark = df.sparkSession
+    table = slot_table(spark, [f"shard-{k:05d}" for k in range(shards)], slots)
+    names = df.columns
+    folder = fresh(names, "shard_name")
+    slot, shard, turn, place = (fresh([*names, folder], f"_{n}") for n in ("slot", "shard", "turn", "place"))
+    dealt = df
+    if parts_each > 1:
+        # Written first, so that a task that runs twice deals its rows alike.
+        dealt = materialise(df.withColumn(turn, F.monotonically_increasing_id()), "turns")
+    marked = dealt.withColumn(slot, F.pmod(F.xxhash64(*[col(k) for k in keys]), F.lit(slots))).join(
+        F.broadcast(table.select(F.col("slot").alias(slot), F.col("shard").alias(shard), F.col("shard_name").alias(folder))), slot
+    )
+    n = shards * parts_each
+    at = col(shard) * F.lit(parts_each) + (F.pmod(col(turn), F.lit(parts_each)).cast("int") if parts_each > 1 else F.lit(0))
+    # The exchange places a row by the hash of a number; each (shard, file) takes one that falls on a partition of its own.
+    marked = marked.withColumn(place, F.element_at(F.array(*[F.lit(x) for x in _seats(spark, n)]), at + 1))
+    marked.repartition(n, col(place)).select(*[col(c) for c in names], col(folder)).write.partitionBy(folder).parquet(path)
+
+
+def _seats(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions an integer whose hash falls on it."""
+    found: dict[int, int] = {}
+    begin, size = 0, max(64, 16 * n)
+    while len(found) < n:
+        rows = spark.range(begin, begin + size).select(F.col("id").cast("int").alias("x")).groupBy(F.pmod(F.hash("x"), F.lit(n)).alias("p")).agg(F.min("x").alias("x")).collect()
+        for r in rows:
+            found.setdefault(r["p"], r["x"])
+        begin += size
+    return [found[p] for p in range(n)]

@@ -1,9 +1,13 @@
+import hashlib
+import os
+import struct
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from loomframe.llm import sharding
+from loomframe.llm import queries, sharding
 
 
 def test_tables_are_full_and_even():
@@ -59,3 +63,58 @@ def test_written_shards_hold_all_rows(spark, docs_of, tmp_path):
     sharding.write_shards(df, str(tmp_path / "o"), ["doc_id"], 4, 101, parts_each=2)
     back = spark.read.parquet(str(tmp_path / "o"))
     assert back.count() == 300 and back.select("shard_name").distinct().count() == 4
+
+
+def brute_table(names, slots):
+    """The table by hand: shards claim in turn the next free slot of their own order."""
+
+    def number(name, salt):
+        return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8, salt=salt.to_bytes(8, "little")).digest(), "little")
+
+    orders = [iter([(number(n, 1) + j * (number(n, 2) % (slots - 1) + 1)) % slots for j in range(slots)]) for n in names]
+    owner, turn = {}, 0
+    while len(owner) < slots:
+        at = next(x for x in orders[turn % len(names)] if x not in owner)
+        owner[at] = turn % len(names)
+        turn += 1
+    return owner
+
+
+def test_the_query_against_brute_force(spark, tmp_path):
+    ids = [*range(-50, 400), 2**62, -(2**63), None]
+    spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    owner = brute_table([f"shard-{k:05d}" for k in range(64)], 65_537)
+    got = {r["doc_id"]: r for r in queries.op8_sharding(spark, str(tmp_path)).collect()}
+    assert set(got) == set(ids)
+    for i, r in got.items():
+        h = 42 if i is None else xxhash.xxh64_intdigest(struct.pack("<q", i), 42)
+        slot = (h - 2**64 if h >= 2**63 else h) % 65_537
+        assert (r["slot"], r["shard"], r["shard_name"]) == (slot, owner[slot], f"shard-{owner[slot]:05d}")
+
+
+def test_written_columns_are_kept_whatever_their_names(spark, tmp_path):
+    rows = [(i % 5, f"k{i}", i, "x" * 100_000 if i == 3 else "y", None) for i in range(200)]
+    df = spark.createDataFrame(rows, "slot int, shard_name string, _turn int, shard string, place string").repartition(3)
+    for key in ("slot", "shard_name", "shard"):
+        where = str(tmp_path / key)
+        sharding.write_shards(df, where, [key], 4, 101, parts_each=2)
+        back = spark.read.parquet(where)
+        assert back.columns == [*df.columns, "shard_name_"]
+        assert sorted(map(str, back.drop("shard_name_").collect())) == sorted(map(str, df.collect()))
+    sharding.write_shards(df.limit(0), str(tmp_path / "none"), ["slot"], 4, 101)
+
+
+def test_a_hot_key_is_spread_over_its_shards_files(spark, tmp_path):
+    df = spark.range(4000).selectExpr("IF(id % 2 = 0, 7, id) AS k", "id AS v").repartition(5)
+    where = str(tmp_path / "hot")
+    sharding.write_shards(df, where, ["k"], 4, 101, parts_each=3)
+    assert spark.read.parquet(where).count() == 4000
+    for folder in [f for f in os.listdir(where) if f.startswith("shard_name=")]:
+        files = [f for f in os.listdir(f"{where}/{folder}") if f.endswith(".parquet")]
+        sizes = [spark.read.parquet(f"{where}/{folder}/{f}").count() for f in files]
+        assert len(sizes) == 3 and max(sizes) < 1.2 * sum(sizes) / 3
+
+
+def test_too_many_slots():
+    with pytest.raises(ValueError, match="more than"):
+        sharding.fill_table(["a"], sharding.MAX_SLOTS + 1)
