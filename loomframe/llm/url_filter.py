@@ -11,7 +11,7 @@ from __future__ import annotations
 import mmap
 import struct
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +22,16 @@ from pyspark.sql import functions as F
 from .common import col, new_path
 
 ALLOW, BLOCK = "allow", "block"
-_MAGIC = b"URLRULE1"
+_MAGIC = b"URLRULE2"
+#: Every executor gets a copy of the index on its disk, so no larger one is published.
+MAX_INDEX = 4 << 30
 
 
 def build_index(rules: Iterable[tuple[str, str]], mask: int = 2**64 - 1) -> bytes:
     """The index of (rule, verdict): rules are ``host/path`` with a host in lower case.
 
-    Layout, little-endian: magic, number of rules, number of path lengths, mask;
-    then path lengths, sorted keys, string ends, verdicts, strings. ``mask``
+    Layout, little-endian: magic, number of rules, number of path lengths, mask,
+    most labels of a host; then path lengths, sorted keys, string ends, verdicts, strings. ``mask``
     narrows the keys, so that tests can force collisions. The last verdict given
     for a rule holds.
     """
@@ -40,10 +42,11 @@ def build_index(rules: Iterable[tuple[str, str]], mask: int = 2**64 - 1) -> byte
     raw = [(xxhash.xxh64_intdigest(r.encode()) & mask, r.encode(), v == BLOCK) for r, v in verdicts.items()]
     raw.sort()
     lengths = sorted({len(r.partition("/")[2]) + 1 for r in verdicts})
+    labels = max((r.partition("/")[0].count(".") + 1 for r in verdicts), default=0)
     ends = np.cumsum([len(r) for _, r, _ in raw]) if raw else []
     return b"".join(
         [
-            _MAGIC, struct.pack("<QQQ", len(raw), len(lengths), mask), np.asarray(lengths, "<u8").tobytes(), np.asarray([k for k, _, _ in raw], "<u8").tobytes(),
+            _MAGIC, struct.pack("<QQQQ", len(raw), len(lengths), mask, labels), np.asarray(lengths, "<u8").tobytes(), np.asarray([k for k, _, _ in raw], "<u8").tobytes(),
             np.asarray(ends, "<u8").tobytes(), np.asarray([b for _, _, b in raw], "u1").tobytes(), *[r for _, r, _ in raw],
         ]
     )
@@ -57,8 +60,8 @@ class Index:
             self.map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         if self.map[:8] != _MAGIC:
             raise ValueError(f"{path} is no index of rules")
-        n, m, self.mask = struct.unpack_from("<QQQ", self.map, 8)
-        at = 32
+        n, m, self.mask, self.labels = struct.unpack_from("<QQQQ", self.map, 8)
+        at = 40
         self.lengths = np.frombuffer(self.map, "<u8", m, at).astype(int).tolist()
         self.keys = np.frombuffer(self.map, "<u8", n, at := at + 8 * m)
         self.ends = np.frombuffer(self.map, "<u8", n, at := at + 8 * n)
@@ -86,15 +89,15 @@ class Index:
         return out
 
 
-def candidates(host: str, path: str, lengths: list[int]) -> list[str]:
-    """The rules that would fit, the longest first; of two as long, that with the longer host first."""
-    labels = host.split(".")
-    suffixes = [".".join(labels[k:]) for k in range(len(labels))]
+def candidates(host: str, path: str, lengths: list[int], labels: int) -> list[str]:
+    """The rules that would fit, the longest first; of two as long, that with the longer host first. No rule's host has more labels than ``labels``."""
+    parts = host.rsplit(".", labels)[-labels:] if labels else []
+    suffixes = [".".join(parts[k:]) for k in range(len(parts))]
     found = [(len(s) + n, len(s), s + path[:n]) for s in suffixes for n in lengths if n <= len(path)]
     return [c for _, _, c in sorted(found, key=lambda x: (-x[0], -x[1]))]
 
 
-@cache
+@lru_cache(4)
 def _opened(name: str) -> Index:
     from pyspark import SparkFiles
 
@@ -102,7 +105,9 @@ def _opened(name: str) -> Index:
 
 
 def publish(spark: SparkSession, index: bytes) -> str:
-    """Put the index file where every executor gets its own copy; returns its name there."""
+    """Put the index file where every executor gets its own copy; returns its name there. ValueError above MAX_INDEX bytes."""
+    if len(index) > MAX_INDEX:
+        raise ValueError(f"an index of {len(index)} bytes; at most {MAX_INDEX} are copied to every executor")
     path = new_path(spark, "urlrules") + ".idx"
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -151,7 +156,7 @@ def judge_urls(
             wanted, owner = [], []
             for i, (h, p) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 if h and p:
-                    c = candidates(h, p, index.lengths)
+                    c = candidates(h, p, index.lengths, index.labels)
                     wanted += c
                     owner += [i] * len(c)
             rule, verdict = [None] * b.num_rows, [default] * b.num_rows

@@ -58,3 +58,17 @@ def test_edges(spark):
     assert [r["verdict"] for r in url_filter.judge_urls(one, [], default="block").collect()] == ["block", "block"]
     with pytest.raises(ValueError, match="not a rule"):
         url_filter.build_index([("net", "block")])
+
+
+def test_very_long_urls(spark):
+    rules = [*URL_RULES, ("b.c.d.e.net/x/", "allow")]
+    hosts = ["." * 1_000_000 + "net", "a." * 500_000 + "b.c.d.e.net", "x" * 1_000_000 + ".org"]
+    rows = [(i, f"http://{h}/x/{'p' * 1000}", None, "x", "y") for i, h in enumerate(hosts)] + [(9, "http://a.net/" + "en/" * 400_000, None, "x", "y")]
+    got = url_filter.judge_urls(spark.createDataFrame(rows, PAGES), rules).collect()
+    assert {r["page_id"]: tuple(r)[1:] for r in got} == {i: brute(u, rules) for i, u, *_ in rows}
+
+
+def test_an_index_too_large_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_INDEX", 10)
+    with pytest.raises(ValueError, match="bytes"):
+        url_filter.judge_urls(spark.createDataFrame([], PAGES), URL_RULES)
