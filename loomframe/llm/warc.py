@@ -393,9 +393,10 @@ def read_archives(archives: DataFrame, path_col: str = "archive", payloads: bool
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    paths = archives.select(col(path_col).cast("string")).dropna()
-    # One task deals out the list of paths, a name for every 64 MB, so that it is dealt evenly; an exchange with a number of its own isn't merged.
-    return paths.coalesce(1).repartition(max(1, min(paths.count(), MOST_PARTITIONS))).mapInArrow(run, columns)
+    paths = archives.select(col(path_col).cast("string").alias("path")).dropna()
+    # By range of the names themselves, and with a number of its own: the list is dealt evenly, and never merged however short it is.
+    dealt = paths.repartitionByRange(max(1, min(paths.count(), MOST_PARTITIONS)), "path")
+    return dealt.mapInArrow(run, columns)
 
 
 def page_id_of(record_id):
