@@ -2,14 +2,16 @@
 
 Tokens are summed in cells, one for each combination of the dimensions (source,
 language, topic). Cell weights are scaled to each dimension's target marginals
-in turn until all hold. Documents are then sampled with their cell's calibrated
-probability.
+in turn until all hold; marginals that no weights can meet are an error, or are
+reported with what is left of them. Documents are then sampled with their cell's
+calibrated probability.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,11 +19,13 @@ from .common import col, keep_rows, materialise, row_keys, text_of
 
 #: Up to so many cells are raked on the driver and broadcast; more are raked by joins.
 MAX_CELLS = 50_000
-ROUNDS, TOLERANCE = 60, 1e-6
+#: Raking ends when no marginal is off by more than TOLERANCE of its target. If that takes more rounds than ROUNDS
+#: and a marginal is off by more than UNMET, the targets contradict one another (or the cells that there are).
+ROUNDS, TOLERANCE, UNMET = 1000, 1e-6, 1e-3
 SEED = 42
 TOPICS = 8
-#: Targets of the pipeline: each dimension's shares raised to this power (1: as they are), and the share of tokens to keep.
-TEMPER = {"source": 0.8, "lang": 0.9, "topic": 0.9}
+#: Targets of the pipeline: shares by value, or a power to which each value's own share is raised (1: as it is); and the share of tokens to keep.
+TARGETS = {"source": 0.8, "lang": {"en": 0.52, "fr": 0.16, "de": 0.16, "es": 0.11}, "topic": 0.9}
 BUDGET = 0.8
 
 
@@ -59,31 +63,34 @@ def _shares(tokens: dict, target) -> dict:
     return {v: r / whole if whole else 0.0 for v, r in raw.items()}
 
 
-def rake(cells: list[tuple], targets: list, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> list[float]:
-    """Weights for ``cells`` of (values..., tokens) so that weighted tokens meet the targets."""
-    weights, dims = [1.0] * len(cells), range(len(targets))
-    total = sum(c[-1] for c in cells)
-    goals = []
-    for d in dims:
-        by = defaultdict(float)
-        for c in cells:
-            by[c[d]] += c[-1]
-        goals.append({v: s * total for v, s in _shares(by, targets[d]).items()})
+def rake(cells: list[tuple], targets: list, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> tuple[list[float], float]:
+    """Weights for ``cells`` of (values..., tokens) so that weighted tokens meet the targets, and by what share of it a target is missed at most."""
+    tokens = np.array([c[-1] for c in cells], float)
+    dims = []
+    for d, target in enumerate(targets):
+        values = sorted({c[d] for c in cells}, key=lambda v: (v is None, str(v)))
+        place = {v: k for k, v in enumerate(values)}
+        at = np.array([place[c[d]] for c in cells], int)
+        by = np.bincount(at, tokens, len(values))
+        shares = _shares(dict(zip(values, by.tolist(), strict=True)), target)
+        dims.append((at, np.array([shares[v] for v in values]) * tokens.sum()))
+    weights, off = np.ones(len(cells)), 0.0
     for _ in range(rounds):
-        off = 0.0
-        for d in dims:
-            now = defaultdict(float)
-            for c, w in zip(cells, weights, strict=True):
-                now[c[d]] += w * c[-1]
-            factor = {v: goals[d][v] / n if n else 1.0 for v, n in now.items()}
-            off = max([off, *(abs(f - 1) for f in factor.values())])
-            weights = [w * factor[c[d]] for c, w in zip(cells, weights, strict=True)]
+        for at, goal in dims:
+            now = np.bincount(at, weights * tokens, len(goal))
+            weights = weights * np.divide(goal, now, out=np.ones(len(goal)), where=now > 0)[at]
+        off = max((_missed(np.bincount(at, weights * tokens, len(goal)), goal) for at, goal in dims), default=0.0)
         if off < tolerance:
             break
-    return weights
+    return weights.tolist(), off
+
 
+def _missed(now: np.ndarray, goal: np.ndarray) -> float:
+    asked = goal > 0
+    return float(np.abs(now[asked] / goal[asked] - 1).max(initial=0.0))
 
-def _rake_joined(cells: DataFrame, dims: list[str], targets: list, rounds: int, tolerance: float) -> DataFrame:
+
+def _rake_joined(cells: DataFrame, dims: list[str], targets: list, rounds: int, tolerance: float) -> tuple[DataFrame, float]:
     """:func:`rake` where cells are too many for the driver: ``cells`` with ``weight``."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     fitted = cells.withColumn("weight", F.lit(1.0))
@@ -102,48 +109,53 @@ def _rake_joined(cells: DataFrame, dims: list[str], targets: list, rounds: int,
         by = materialise(by.select(F.col(d).alias("v"), F.when(F.col("m") > 0, share).otherwise(0.0).alias("s")), "goals")
         whole = by.agg(F.sum("s")).first()[0] or 1.0
         goals.append(by.select("v", (F.col("s") * F.lit(total / whole)).alias("goal")))
+
+    def factors(d: str, goal: DataFrame) -> DataFrame:
+        now = fitted.groupBy(F.col(d).alias("v")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("n"))
+        both = now.alias("x").join(goal.alias("y"), F.col("x.v").eqNullSafe(F.col("y.v")))
+        factor = F.when(F.col("n") > 0, F.col("goal") / F.col("n")).otherwise(1.0)
+        missed = F.when(F.col("goal") > 0, F.abs(F.col("n") / F.col("goal") - 1)).otherwise(0.0)
+        return both.select(F.col("x.v").alias("v"), factor.alias("f"), missed.alias("off"))
+
+    off = 0.0
     for _ in range(rounds):
-        off = 0.0
         for d, goal in zip(dims, goals, strict=True):
-            now = fitted.groupBy(F.col(d).alias("v")).agg(F.sum(F.col("weight") * F.col("tokens")).alias("n"))
-            both = now.alias("x").join(goal.alias("y"), F.col("x.v").eqNullSafe(F.col("y.v")))
-            factor = F.when(F.col("n") > 0, F.col("goal") / F.col("n")).otherwise(1.0)
-            factors = materialise(both.select(F.col("x.v").alias("v"), factor.alias("f")), "factors")
-            off = max(off, factors.agg(F.max(F.abs(F.col("f") - 1))).first()[0] or 0.0)
-            moved = fitted.join(factors, F.col(d).eqNullSafe(F.col("v")))
+            moved = fitted.join(materialise(factors(d, goal), "factors"), F.col(d).eqNullSafe(F.col("v")))
             fitted = materialise(moved.select(*dims, "tokens", (F.col("weight") * F.col("f")).alias("weight")), "cells")
+        # The dimension scaled last holds; if all before it still do, all hold.
+        off = max([factors(d, goal).agg(F.max("off")).first()[0] or 0.0 for d, goal in list(zip(dims, goals, strict=True))[:-1]], default=0.0)
         if off < tolerance:
             break
-    return fitted
+    return fitted, off
 
 
 def _scale(weights: DataFrame, goal: float) -> float:
-    """The factor by which weights, capped at 1, sum to ``goal`` tokens."""
+    """The factor by which weights, capped at 1, sum to ``goal`` tokens; each step caps more cells than the one before, or is the last."""
     factor = 0.0
-    for _ in range(200):
+    while True:
         capped = F.col("weight") * F.lit(factor) >= 1
-        full, open_, top = weights.agg(
-            F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(~capped, F.col("weight") * F.col("tokens")).otherwise(0)), F.max("weight"),
-        ).first()
+        full, open_ = weights.agg(F.sum(F.when(capped, F.col("tokens")).otherwise(0)), F.sum(F.when(~capped, F.col("weight") * F.col("tokens")).otherwise(0))).first()
         if not open_:
             return factor or 1.0
         new = max((goal - full) / open_, 0.0)
         if new <= factor * (1 + 1e-12):
             return max(factor, new)
         factor = new
-    return factor
 
 
 def mix(
     docs: DataFrame, dims: dict[str, Column], targets: dict[str, float | dict], budget: float = BUDGET,
-    tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, max_cells: int = MAX_CELLS,
+    tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, max_cells: int = MAX_CELLS, unmet: str = "raise",
 ) -> DataFrame:
-    """Each row of ``docs`` with its cell, ``tokens``, ``weight``, ``probability``, ``kept`` and the row keys.
+    """Each row of ``docs`` with its cell, ``tokens``, ``weight``, ``probability``, ``kept``, ``residual`` and the row keys.
 
     dims: the dimensions' columns by name; targets: for each a power by which its
     shares are tempered, or shares by value. ``budget`` is the share of all
     tokens to keep in expectation. A document is kept at most once: cells whose
     probability would be above 1 are kept whole, and the others make up for it.
+    ``residual``, the same in all rows, is the share of its target that the raked
+    weights miss a marginal by at most. Targets that can't be met raise ValueError,
+    or with ``unmet="report"`` a warning.
 
     A null value of a dimension is a value of its own. Null text has no tokens;
     documents without tokens follow their cell. Whether a document is kept
@@ -161,11 +173,16 @@ def mix(
     few = cells.count() <= max_cells
     if few:
         table = [tuple(r) for r in cells.collect()]
-        weights = rake(table, goals)
+        weights, off = rake(table, goals)
         schema = ", ".join(f"{n} string" for n in names) + ", tokens long, weight double"
         fitted = docs.sparkSession.createDataFrame([(*c, w) for c, w in zip(table, weights, strict=True)], schema)
     else:
-        fitted = _rake_joined(cells, names, goals, ROUNDS, TOLERANCE)
+        fitted, off = _rake_joined(cells, names, goals, ROUNDS, TOLERANCE)
+    if off > UNMET:
+        told = f"no weights meet these targets: a marginal is off by {off:.3g} of its target"
+        if unmet == "raise":
+            raise ValueError(told)
+        warnings.warn(told, stacklevel=2)
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     factor = _scale(fitted, budget * total)
     calibrated = fitted.select(*[F.col(n).alias(f"c_{n}") for n in names], "weight", F.least(F.lit(1.0), F.col("weight") * F.lit(factor)).alias("probability"))
@@ -175,17 +192,22 @@ def mix(
     return joined.select(
         F.col("id").alias(id_col),
         *[F.col(n).alias(d) for n, d in zip(names, dims, strict=True)],
-        "tokens", "weight", "probability", (uniform < F.col("probability")).alias("kept"), "_k1", "_k2",
+        "tokens", "weight", "probability", (uniform < F.col("probability")).alias("kept"), F.lit(off).alias("residual"), "_k1", "_k2",
     )
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`mix` by source, language and topic with the pipeline's targets."""
-    dims = {"source": col("source"), "lang": col("lang"), "topic": topic_of(text_of(text_col))}
-    return mix(docs, dims, TEMPER, id_col=id_col, text_col=text_col)
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", topic: Column | None = None) -> DataFrame:
+    """:func:`mix` by source, language and topic with the pipeline's targets; the topic is :func:`topic_of` the text unless one is given. Targets that can't be met are reported."""
+    dims = {"source": col("source"), "lang": col("lang"), "topic": topic_of(text_of(text_col)) if topic is None else topic}
+    return mix(docs, dims, TARGETS, id_col=id_col, text_col=text_col, unmet="report")
 
 
 def sample_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that :func:`mix_documents` samples, all columns kept."""
+    """The rows of ``docs`` that :func:`mix_documents` samples, all columns kept.
+
+    A null text has no tokens and follows its cell, null dimensions are values of
+    their own, repeated rows share their fate, an empty table gives an empty
+    table, and other columns are kept whatever their names.
+    """
     keep = mix_documents(docs, id_col, text_col).filter("kept")
     return keep_rows(docs, keep, id_col, text_col, once=False)
