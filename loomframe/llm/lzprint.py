@@ -21,13 +21,15 @@ from .common import col, materialise, partitions_for, text_of
 
 #: Hashes in a fingerprint.
 SIZE = 64
-#: The dictionary of phrases begins anew after so many bytes, which bounds memory; the set of phrases goes on.
-SPAN = 1 << 22
+#: Texts of more bytes keep their dictionary in flat arrays, about 6 bytes for each of the text; the parse is the same.
+LONG = 1 << 22
+#: A flat dictionary has room for so many phrases at first, and grows by doubling.
+ROOM = 1 << 20
 _MULTIPLIER, _MASK = 6364136223846793005, (1 << 64) - 1
 
 
 class _Parse:
-    """A parse that can be taken further, and back to where it was."""
+    """A parse that can be taken further, and back to where it was. Its dictionary takes some 25 bytes for each of the text."""
 
     __slots__ = ("at", "hashes", "number")
 
@@ -64,11 +66,73 @@ class _Parse:
         return np.unique(_mixed(np.array(self.hashes[begin + 1 :], np.uint64)))[:size]
 
 
+class _LongParse:
+    """The parse of :class:`_Parse` with its dictionary in flat arrays: open addressing, keys beside the phrases they lead to."""
+
+    __slots__ = ("at", "hashes", "keys", "n", "to")
+
+    def __init__(self, room: int = ROOM) -> None:
+        self.hashes = np.zeros(room, np.uint64)
+        self.hashes[0] = 0x9E3779B97F4A7C15
+        self.keys, self.to = np.full(2 * room, -1, np.int64), np.zeros(2 * room, np.int32)
+        self.n, self.at = 1, 0
+
+    def feed(self, data: bytes) -> None:
+        at, n = self.at, self.n
+        keys, to, hashes = memoryview(self.keys), memoryview(self.to), memoryview(self.hashes)
+        mask, room = len(keys) - 1, len(hashes)
+        for byte in data:
+            key = at << 8 | byte
+            slot = (key * _MULTIPLIER >> 29) & mask
+            while True:
+                found = keys[slot]
+                if found == key:
+                    at = to[slot]
+                    break
+                if found < 0:
+                    keys[slot], to[slot] = key, n
+                    hashes[n] = (hashes[at] * _MULTIPLIER + byte + 1) & _MASK
+                    n += 1
+                    at = 0
+                    if n == room:
+                        keys = to = hashes = None
+                        self._grow()
+                        keys, to, hashes = memoryview(self.keys), memoryview(self.to), memoryview(self.hashes)
+                        mask, room = len(keys) - 1, len(hashes)
+                    break
+                slot = (slot + 1) & mask
+        self.at, self.n = at, n
+
+    def _grow(self) -> None:
+        self.hashes = np.concatenate([self.hashes, np.zeros(len(self.hashes), np.uint64)])
+        there = self.keys >= 0
+        key, value = self.keys[there], self.to[there]
+        self.keys, self.to = np.full(2 * len(self.keys), -1, np.int64), np.zeros(2 * len(self.to), np.int32)
+        mask = len(self.keys) - 1
+        slot = ((key.astype(np.uint64) * np.uint64(_MULTIPLIER) >> np.uint64(29)) & np.uint64(mask)).astype(np.int64)
+        while len(key):  # all that find their slot free are placed, one for each slot; the others go on by one
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, one = np.unique(slot[free], return_index=True)
+            placed = free[one]
+            self.keys[slot[placed]], self.to[slot[placed]] = key[placed], value[placed]
+            left = np.ones(len(key), bool)
+            left[placed] = False
+            key, value, slot = key[left], value[left], (slot[left] + 1) & mask
+
+    def lowest(self, begin: int, size: int) -> np.ndarray:
+        return np.unique(_mixed(self.hashes[begin + 1 : self.n]))[:size]
+
+
+def _parsed(data: bytes) -> _Parse | _LongParse:
+    parse = _Parse() if len(data) <= LONG else _LongParse()
+    parse.feed(data)
+    return parse
+
+
 def _phrases(data: bytes) -> np.ndarray:
     """A hash of each phrase of the parse."""
-    parse = _Parse()
-    parse.feed(data)
-    return np.array(parse.hashes[1:], np.uint64)
+    parse = _parsed(data)
+    return np.array(parse.hashes[1:], np.uint64) if isinstance(parse, _Parse) else parse.hashes[1 : parse.n]
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -79,13 +143,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def signature(text: str, size: int = SIZE) -> np.ndarray:
     """The smallest distinct 32-bit phrase hashes, in order."""
-    data = text.encode("utf-8", "surrogatepass")
-    low = np.empty(0, np.uint32)
-    for begin in range(0, len(data), SPAN):
-        parse = _Parse()
-        parse.feed(data[begin : begin + SPAN])
-        low = _merged(low, parse.lowest(0, size), size)
-    return low
+    return _parsed(text.encode("utf-8", "surrogatepass")).lowest(0, size)
 
 
 def _merged(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -115,7 +173,13 @@ def similarity(a: str, b: str, size: int = SIZE) -> float:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
-    """The id and ``fingerprint`` of each row, whole texts read. Null text counts as empty; rows come back as often as they came."""
+    """The id and ``fingerprint`` of each row, whole texts read.
+
+    Null text counts as empty, whose fingerprint is empty; rows come back as
+    often as they came, null ids as any other; equal texts have equal
+    fingerprints; an empty table gives an empty table. Other columns are ignored
+    whatever their names.
+    """
     source = docs.select(col(id_col).alias("id"), text_of(text_col).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +204,7 @@ class _Row:
         self.text, self.parse = text, None
         head = text[: len(text) - len(text) // 3].encode("utf-8", "surrogatepass")
         rest = text[len(text) - len(text) // 3 :].encode("utf-8", "surrogatepass")
-        if len(head) + len(rest) > SPAN // 2:
+        if len(head) + len(rest) > LONG:
             self.sig = signature(text, size)
             return
         parse = self.parse = _Parse()
@@ -156,7 +220,7 @@ class _Row:
         data = other.encode("utf-8", "surrogatepass")
         if other == self.text:
             sig = self.sig
-        elif self.parse is None or len(data) > SPAN:
+        elif self.parse is None or len(data) > LONG:
             sig = signature(other, size)
         else:
             phrases = len(self.parse.number)

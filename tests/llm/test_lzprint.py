@@ -1,5 +1,7 @@
+import base64
 import hashlib
 import random
+import struct
 
 import pytest
 
@@ -45,12 +47,57 @@ def test_likeness_estimates_the_jaccard_index():
     assert lzprint.fingerprint("") == "" and lzprint.similarity(lzprint.fingerprint(a), lzprint.fingerprint(a)) == 1
 
 
-def test_long_texts_are_read_whole(monkeypatch):
-    monkeypatch.setattr(lzprint, "SPAN", 1000)
+def brute_hash(phrase):
+    h = 0x9E3779B97F4A7C15
+    for byte in phrase:
+        h = (h * 6364136223846793005 + byte + 1) % 2**64
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return (h ^ h >> 31) >> 32
+
+
+def brute_signature(text):
+    return sorted({brute_hash(p) for p in brute_phrases(text.encode())})[:64]
+
+
+def brute_print(text):
+    return base64.b64encode(b"".join(struct.pack("<I", h) for h in brute_signature(text))).decode()
+
+
+def brute_likeness(a, b):
+    a, b = brute_signature(a), brute_signature(b)
+    union = sorted({*a, *b})[:64]
+    return sum(h in a and h in b for h in union) / len(union) if union else 1.0
+
+
+def test_signatures_by_hand():
+    r = random.Random(24)
+    for t in ["", "a", "aaaaaaaa", "é \U0001f600", *(text(r, n) for n in (3, 50, 1500))]:
+        assert lzprint.fingerprint(t) == brute_print(t)
+
+
+def test_long_texts_have_the_same_parse(monkeypatch):
     r = random.Random(21)
-    a = text(r, 2000)
-    assert any(lzprint.fingerprint(a) != lzprint.fingerprint(a[:-k] + text(r, 50)) for k in (1, 200))
-    assert len(lzprint.signature(a)) == lzprint.SIZE
+    texts = [text(r, n) for n in (1, 300, 6000)]
+    want = [brute_print(t) for t in texts]
+    monkeypatch.setattr(lzprint, "LONG", 10)
+    monkeypatch.setattr(lzprint._LongParse.__init__, "__defaults__", (16,))
+    assert [lzprint.fingerprint(t) for t in texts] == want
+    # Fed in parts, as it is whole.
+    data = texts[2].encode()
+    parse = lzprint._LongParse()
+    for at in range(0, len(data), 777):
+        parse.feed(data[at : at + 777])
+    assert set(parse.hashes[1 : parse.n].tolist()) == set(lzprint._phrases(data).tolist()) and parse.n - 1 == len(brute_phrases(data))
+
+
+def test_a_text_above_the_switch():
+    r = random.Random(25)
+    t = text(r, 900_000)
+    assert len(t) > lzprint.LONG
+    short = lzprint._Parse()
+    short.feed(t.encode())
+    assert (lzprint.signature(t) == short.lowest(0, 64)).all()
 
 
 @pytest.mark.parametrize("partitions", ["1", "5", "40"])
@@ -71,8 +118,7 @@ def test_documents_match_brute_force(spark, docs_of, partitions, clashing):
         t, following = t or "", order[(k + 1) % len(order)][1] or ""
         n = len(t) // 3
         e = t[: len(t) - n] + following[:n]
-        a, b, c = map(lzprint.fingerprint, (t, e, following))
-        assert tuple(got[i])[1:] == (len(t), hashlib.sha256(e.encode()).hexdigest(), a, b, lzprint.similarity(a, b), lzprint.similarity(a, c))
+        assert tuple(got[i])[1:] == (len(t), hashlib.sha256(e.encode()).hexdigest(), brute_print(t), brute_print(e), brute_likeness(t, e), brute_likeness(t, following))
 
 
 def test_edges(docs_of):
