@@ -62,13 +62,30 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str, limit: int) -> Dat
     return known.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(limit)
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    limit: int = MAX_LABELLED, buckets: int = BUCKETS,
-) -> tuple[np.ndarray, float]:
-    """(log ratio of target to raw by bucket, share of good rows among the labelled).
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
+    """``id``, ``_k1``, ``_k2`` and ``f``, the text's :func:`features` as little-endian numbers of :func:`_width`, for each row. Texts are read here alone."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    source = docs.select(col(id_col).alias("id"), *row_keys(id_col, text_col), text_of(text_col).alias("t"))
+    kind = source.schema["id"].dataType
+    schema = pa.schema([("id", to_arrow_type(kind)), ("_k1", pa.int64()), ("_k2", pa.int64()), ("f", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f = [features(t, buckets).astype(_width(buckets)).tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(f, pa.binary())], schema=schema)
+
+    return materialise(source.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, f binary"), "features")
 
-    Raw counts are over all of ``docs``; the target is its rows that the sample of
+
+def _width(buckets: int) -> str:
+    return "<u2" if buckets <= 1 << 16 else "<u4"
+
+
+def fit(features_of: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", limit: int = MAX_LABELLED, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+    """(log ratio of target to raw by bucket, share of good rows among the labelled), from :func:`hashed` documents.
+
+    Raw counts are over all of them; the target is those that the sample of
     ``labels`` calls good. Without good rows or without documents the ratio is 0
     everywhere, and without labels the share is 1: nothing is rejected then.
     """
@@ -76,21 +93,22 @@ def fit(
     n, good = sample.agg(F.count("*"), F.coalesce(F.sum((F.col("_good") > 0).cast("int")), F.lit(0))).first()
     if not n or not good:
         return np.zeros(buckets), 1.0
-    texts = docs.select(col(id_col).alias("_id"), text_of(text_col).alias("t"))
-    marked = texts.join(F.broadcast(sample.filter("_good > 0").select("_id", F.lit(True).alias("g"))), "_id", "left").select("g", "t")
+    known = F.broadcast(sample.filter("_good > 0").select(F.col("_id").alias("id"), F.lit(True).alias("g")))  # `limit` rows at most
+    marked = features_of.join(known, "id", "left").select("g", "f")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
-            for g, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                f = np.bincount(features(t, buckets), minlength=buckets) if len(t) > 100_000 else features(t, buckets)
-                if len(t) > 100_000:
-                    raw += f
-                    target += f if g else 0
+            for g, f in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = np.frombuffer(f.as_buffer(), _width(buckets))
+                if len(found) > buckets:
+                    found = np.bincount(found, minlength=buckets)
+                    raw += found
+                    target += found if g else 0
                 else:
-                    np.add.at(raw, f, 1)
+                    np.add.at(raw, found, 1)
                     if g:
-                        np.add.at(target, f, 1)
+                        np.add.at(target, found, 1)
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["b", "raw", "target"])
 
@@ -105,22 +123,21 @@ def fit(
     return np.log(p) - np.log(q), good / n
 
 
-def score(docs: DataFrame, log_ratio: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``_k1``, ``_k2``, ``log_importance`` for each row."""
+def score(features_of: DataFrame, log_ratio: np.ndarray) -> DataFrame:
+    """``id``, ``_k1``, ``_k2``, ``log_importance`` for each :func:`hashed` row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    source = docs.select(col(id_col).alias("id"), *row_keys(id_col, text_col), text_of(text_col).alias("t"))
-    kind = source.schema["id"].dataType
-    shared = docs.sparkSession.sparkContext.broadcast(log_ratio)
+    kind = features_of.schema["id"].dataType
+    shared = features_of.sparkSession.sparkContext.broadcast(log_ratio)
     schema = pa.schema([("id", to_arrow_type(kind)), ("_k1", pa.int64()), ("_k2", pa.int64()), ("log_importance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            s = [float(w[features(t, len(w))].sum()) for t in b.column(3).to_pylist()]
+            s = [float(w[np.frombuffer(f.as_buffer(), _width(len(w)))].sum()) for f in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s, pa.float64())], schema=schema)
 
-    return source.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, log_importance double")
+    return features_of.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, log_importance double")
 
 
 def top_k_threshold(keys: DataFrame, k: int) -> int | None:
@@ -161,8 +178,9 @@ def classify(
     never labelled; labels that are null are no labels. An empty table gives an
     empty table. Other columns are ignored whatever their names.
     """
-    log_ratio, good = fit(docs, labels, id_col, text_col, label_col, limit)
-    scored = materialise(score(docs, log_ratio, id_col, text_col), "scored")
+    found = hashed(docs, id_col, text_col)
+    log_ratio, good = fit(found, labels, id_col, label_col, limit)
+    scored = materialise(score(found, log_ratio), "scored")
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_k1", "_k2"), 11) + F.lit(0.5)) * F.lit(2.0**-53)
     keyed = scored.withColumn("gumbel_key", F.col("log_importance") - F.log(-F.log(uniform)))
     # Doubles in order as longs: thousandths would tie too often, so 2^-20 is the unit.
@@ -174,6 +192,11 @@ def classify(
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`classify` rejects, all columns kept."""
+    """``docs`` without the rows that :func:`classify` rejects, all columns kept.
+
+    A null text counts as empty, a row with a null id is judged by its text,
+    repeated rows share their fate, an empty table gives an empty table, and
+    other columns are kept whatever their names.
+    """
     keep = classify(docs, labels, id_col, text_col).filter("kept")
     return keep_rows(docs, keep, id_col, text_col, once=False)
