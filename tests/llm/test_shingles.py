@@ -39,11 +39,11 @@ def corpus():
     return rows + [(5000, None), (5001, ""), (4999, "\n"), (5002, rows[0][1].upper())]
 
 
-@pytest.mark.parametrize(("group", "clashing"), [(2, True), (32, False)])
-def test_no_similar_pair_stays_and_none_goes_without_one(docs_of, group, clashing):
+@pytest.mark.parametrize(("group", "block", "clashing"), [(2, 5, True), (3, 512, False), (32, 512, False)])
+def test_no_similar_pair_stays_and_none_goes_without_one(docs_of, group, block, clashing):
     rows = corpus()
     docs = docs_of(rows, clashing)
-    kept = shingles.drop_similar(docs, group=group)
+    kept = shingles.drop_similar(docs, group=group, block=block)
     assert kept.columns == docs.columns
     stay = sorted(r["doc_id"] for r in kept.collect())
     sets = {d: brute(t) for d, t in rows}
