@@ -18,13 +18,15 @@ PARTITION_BYTES, MOST_PARTITIONS = 128 << 20, 100_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a folder of this
-    application is made.
+    Only where that setting is absent and the master is local (tests) a folder of
+    this application is made; on a cluster each machine would have one of its own.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.applicationId not in _OWN_DIRS:
         _OWN_DIRS[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomframe-")
     return _OWN_DIRS[sc.applicationId]
@@ -47,11 +49,24 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete every table that :func:`materialise` made for this application. Frames that read them can't be used any more."""
+def tables_made(spark: SparkSession) -> int:
+    """How many tables :func:`materialise` has made for this application and :func:`release` has not deleted."""
+    return len(_MADE.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the tables that :func:`materialise` made for this application, from the one numbered ``since`` on and but for the last ``keep``.
+
+    Frames that read them can't be used any more.
+    """
     sc = spark.sparkContext
-    own = _OWN_DIRS.pop(sc.applicationId, None)
-    for name in [*_MADE.pop(sc.applicationId, []), *([own] if own else [])]:
+    made = _MADE.get(sc.applicationId, [])
+    end = len(made) - keep
+    gone = made[since:end]
+    del made[since:end]
+    if not made and sc.applicationId in _OWN_DIRS:
+        gone.append(_OWN_DIRS.pop(sc.applicationId))
+    for name in gone:
         path = sc._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 

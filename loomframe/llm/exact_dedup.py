@@ -18,8 +18,8 @@ from .common import col, keep_rows, materialise, row_keys, text_of
 #: Characters that normalisation deletes.
 SPACES = " \t\n\x0b\x0c\r"
 MIN_CHUNK, MAX_CHUNK = 512, 4096
-#: A chunk ends after these three classes of letters, once it is long enough.
-BOUNDARY = "[aeiouy][b-df-hj-np-tv-xz][aeiouy]"
+#: Once it is long enough, a chunk ends after these three classes of letters or, in other scripts, after a mark that follows a letter.
+BOUNDARY = r"(?:[aeiouy][b-df-hj-np-tv-xz][aeiouy]|[^\x00-\x7F]\p{Po})"
 #: Identifiers start with this many 64-bit hashes, and widen up to MAX_WIDTH.
 WIDTH, MAX_WIDTH = 2, 4
 

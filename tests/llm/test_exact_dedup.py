@@ -3,6 +3,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomframe.llm import exact_dedup
 
@@ -61,3 +62,13 @@ def test_repeated_rows_null_ids_and_empty_tables(docs_of):
     assert kept.columns == docs_of(rows, clashing=True).columns
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"]) == [(1, "x y")] and kept.count() == 2
     assert exact_dedup.exact_dedup(docs_of([])).count() == 0 and exact_dedup.drop_exact_copies(docs_of([])).count() == 0
+
+
+def test_chunks_follow_the_content_in_any_script(spark):
+    r = random.Random(2)
+    letters = {"latin": "etaoinshrdlu", "cyrillic": "оеаинтсрвлк", "han": "的一是不了人我在有他这中大来上", "arabic": "ايلمنرتبعه"}
+    for name, alphabet in letters.items():
+        mark = {"han": "。", "arabic": "؟"}.get(name, ".")
+        text = "".join(r.choice(alphabet) + (mark if r.random() < 0.02 else "") for _ in range(40_000))
+        a, b = ({x["c"] for x in spark.createDataFrame([(t,)], "t string").select(F.explode(exact_dedup.chunks(F.col("t"))).alias("c")).collect()} for t in (text, alphabet[:3] + text))
+        assert len(a & b) >= 0.8 * len(a) and max(map(len, a)) <= exact_dedup.MAX_CHUNK, name
