@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..columns import col, double, numeric_or_given, require
 from ..errors import InvalidArgument
-from ..plans.quantiles import quantiles
+from ..plans.quantiles import grouped_quantiles, is_large, quantiles
 from ..rows import order_columns
 
 # --- whole frames ---------------------------------------------------------
@@ -132,14 +132,26 @@ class GroupBy:
 
     def agg(self, functions: dict[str, str], order_by=None) -> DataFrame:
         """One aggregate for each column, under the column's name."""
-        made = [self._aggregate(c, f, order_by).alias(c) for c, f in functions.items()]
         if set(functions) & set(self.keys):
             raise InvalidArgument("a key can't be aggregated under its own name: use agg_multiple")
-        return self._grouped().agg(*made)
+        return self._made([(c, f, c) for c, f in functions.items()], order_by)
 
     def agg_multiple(self, functions: dict[str, Sequence[str]], order_by=None) -> DataFrame:
         """Several aggregates for each column, named ``column_aggregate``."""
-        return self._grouped().agg(*[self._aggregate(c, f, order_by).alias(f"{c}_{f}") for c, fs in functions.items() for f in fs])
+        return self._made([(c, f, f"{c}_{f}") for c, fs in functions.items() for f in fs], order_by)
+
+    def _made(self, wanted: list[tuple[str, str, str]], order_by) -> DataFrame:
+        """(column, aggregate, name) for each aggregate. Spark's median holds a group's distinct values in one task, so those of large inputs are found by counting."""
+        apart = [w for w in wanted if w[1] == "median"] if is_large(self.df) else []
+        out = self._grouped().agg(*[self._aggregate(c, f, order_by).alias(n) for c, f, n in wanted if (c, f, n) not in apart] or [F.count(F.lit(1)).alias("_rows")])
+        for c, f, n in apart:
+            require(self.df, c)
+            found = grouped_quantiles(self.df, self.keys, c, [0.5]).withColumnRenamed("q0", n)
+            on = F.lit(True)
+            for k in self.keys:
+                on = on & out[f"`{k}`"].eqNullSafe(found[f"`{k}`"])
+            out = out.join(found, on, "left").select(*[out[f"`{c}`"] for c in out.columns], found[f"`{n}`"])
+        return out.select(*[col(k) for k in self.keys], *[col(n) for _, _, n in wanted])
 
     def apply(self, f: Callable | Column, kind: str = "double") -> DataFrame:
         """One value for each group, in the column ``result``.

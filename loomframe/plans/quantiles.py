@@ -14,11 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import double
+from ..columns import col, double
+from ..rows import with_row_id
+from ..session import written
+from .halo import from_start
 
 #: Frames of up to so many rows are left to Spark's percentile.
 MODERATE = 5_000_000
 BINS = 4096
+#: Inputs of groups of up to so many bytes, as the optimizer estimates them, are left to Spark's percentile.
+MODERATE_BYTES = 4 << 30
 #: So many values are gathered and sorted on the driver at the end.
 FEW = 10_000
 
@@ -77,3 +82,37 @@ def _order_statistic(x: DataFrame, k: int, n: int, low: float, high: float) -> f
                 break
             k -= r["n"]
     return low
+
+
+def is_large(df: DataFrame) -> bool:
+    """The optimizer's estimate of ``df`` is above MODERATE_BYTES. No job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > MODERATE_BYTES
+
+
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], name: str, qs: Sequence[float]) -> DataFrame:
+    """The keys and ``q0``, ``q1``, ...: each group's quantiles, with no group in one task.
+
+    Equal values are counted first; values are numbered over all executors, in
+    the order of keys and value, so that a group that has most rows is shared.
+    Null values are passed over; a null key is a group of its own.
+    """
+    k = [f"_k{i}" for i in range(len(keys))]
+    values = df.select(*[col(c).alias(a) for c, a in zip(keys, k, strict=True)], double(name).alias("_v")).filter("_v IS NOT NULL")
+    counted = values.groupBy(*k, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_row_id(counted, [*k, "_v"])
+    ends = from_start(placed, "_row", {"_end": ("sum", F.col("_n"))})
+    ends = written(ends, "ends")
+    groups = written(ends.groupBy(*k).agg(F.min(F.col("_end") - F.col("_n")).alias("_base"), F.sum("_n").alias("_all")), "groups")
+    same = F.lit(True)
+    for a in k:
+        same = same & F.col(f"e.{a}").eqNullSafe(F.col(f"g.{a}"))
+    both = ends.alias("e").join(groups.alias("g"), same).select(*[F.col(f"e.{a}").alias(a) for a in k], "_v", "_n", "_all", (F.col("_end") - F.col("_base")).alias("_end"))
+    found = []
+    for i, q in enumerate(qs):
+        at = F.lit(float(q)) * (F.col("_all") - 1)
+        for part, rank in (("a", F.floor(at)), ("b", F.ceil(at))):
+            found.append(F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("_n") <= rank), F.col("_v"))).alias(f"_{part}{i}"))
+    merged = both.groupBy(*k).agg(F.max("_all").alias("_all"), *found)
+    at = [F.lit(float(q)) * (F.col("_all") - 1) for q in qs]
+    out = [(F.col(f"_a{i}") + (at[i] - F.floor(at[i])) * (F.col(f"_b{i}") - F.col(f"_a{i}"))).alias(f"q{i}") for i in range(len(qs))]
+    return merged.select(*[F.col(a).alias(c) for a, c in zip(k, keys, strict=True)], *out)

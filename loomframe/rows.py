@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import col, fresh
 from .errors import InvalidArgument
+from .session import written
 
 ROW = "_row"
 
@@ -30,15 +30,17 @@ def order_columns(df: DataFrame, order_by: str | Column | Sequence[str | Column]
 def with_row_id(df: DataFrame, order_by: str | Column | Sequence[str | Column] | None = None, name: str = ROW) -> DataFrame:
     """``df`` with a dense position from 0 in the given order.
 
-    The rows are sorted by range over all executors and kept; each partition then
-    adds the number of rows before it, of which there is one for each partition.
-    No task sees more than its share.
+    The rows are sorted by range over all executors and written to the shared
+    folder, so that positions stay as they are though rows tie or an executor is
+    lost; each partition then adds the number of rows before it, of which there is
+    one for each partition. No task sees more than its share. Positions that are
+    there already (``_row``, and no other order asked for) are used as they are.
     """
     if order_by is None and name in df.columns:
         return df
     at = fresh(df, "_sorted_at")
     placed = df.orderBy(*order_columns(df, order_by)).withColumn(at, F.monotonically_increasing_id())
-    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)  # so that both passes see the same partitions
+    placed = written(placed, "sorted")
     part = F.shiftright(at, 33)
     counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
     before, offsets = 0, []

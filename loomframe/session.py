@@ -6,7 +6,9 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+from .errors import InvalidArgument
 
 
 def get_or_create(app: str = "loomframe", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -35,10 +37,24 @@ _OWN: dict[str, str] = {}
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """An unused path in the folder that all executors share, ``spark.checkpoint.dir``; in tests without one, a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """An unused path in the folder that all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset a temporary folder serves, but only for a local master: on
+    a cluster each machine would have a folder of its own.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _OWN.setdefault(spark.sparkContext.applicationId, "")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise InvalidArgument("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _OWN.setdefault(sc.applicationId, "")
         if not base:
-            base = _OWN[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomframe-")
+            base = _OWN[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="loomframe-")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: a lost executor costs no recomputation of what lies before, and values stay as they are."""
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,8 @@
-"""Descriptive statistics of a column, each an aggregate column, and all of them in one pass."""
+"""Descriptive statistics of a column, each an aggregate column, and all of them together.
+
+As aggregate columns, quantiles hold the distinct values of a group in one task;
+``describe``, ``iqr_of`` and ``percentile_of`` count in bounded memory.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..columns import double, require
+from ..plans.quantiles import quantiles
 
 
 def mean(c: Column) -> Column:
@@ -41,6 +46,17 @@ def value_range(c: Column) -> Column:
     return F.max(c) - F.min(c)
 
 
+def iqr_of(df: DataFrame, name: str) -> float | None:
+    """The distance of the quartiles, for columns of any size."""
+    low, high = quantiles(df, [name], [0.25, 0.75])[name]
+    return None if low is None else high - low
+
+
+def percentile_of(df: DataFrame, name: str, p: float) -> float | None:
+    """:func:`percentile` for columns of any size."""
+    return quantiles(df, [name], [min(1.0, max(0.0, p / 100))])[name][0]
+
+
 def iqr(c: Column) -> Column:
     q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
     return q[1] - q[0]
@@ -72,7 +88,7 @@ def describe(df: DataFrame, name: str) -> DataFrame:
     """One row: count, mean, std, min, q25, median, q75, max, skewness, kurtosis."""
     require(df, name)
     x = double(name)
-    q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    q = [F.max(F.lit(v).cast("double")) for v in quantiles(df, [name], [0.25, 0.5, 0.75])[name]]
     return df.agg(
         F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), q[0].alias("q25"),
         q[1].alias("median"), q[2].alias("q75"), F.max(x).alias("max"), skew(x).alias("skewness"), kurtosis(x).alias("kurtosis"),

@@ -42,7 +42,7 @@ def _get(frame, name):
 @pytest.mark.parametrize("f", ["mean", "sum", "std", "min", "max"])
 def test_rolling_and_expanding(df, values, f, monkeypatch):
     monkeypatch.setattr(halo, "BUCKET", 64)
-    monkeypatch.setattr(halo.from_start, "__defaults__", (False, 64))
+    monkeypatch.setattr(halo.from_start, "__defaults__", (False, 64, 3))
     for center in (False, True):
         want = []
         for i in range(500):
@@ -55,7 +55,7 @@ def test_rolling_and_expanding(df, values, f, monkeypatch):
 
 
 def test_ewm_follows_the_recursion(df, values, monkeypatch):
-    monkeypatch.setattr(halo.from_start, "__defaults__", (False, 64))
+    monkeypatch.setattr(halo.from_start, "__defaults__", (False, 64, 3))
     want, y = [], None
     for x in values:
         if x is not None:
