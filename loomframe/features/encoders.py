@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import col, require
+from ..columns import col, fresh, require
 from ..errors import InvalidArgument
-from ..rows import order_columns
+from ..rows import order_columns, with_row_id
+from ..session import scratch_path
 from .base import Transformer
 
-#: Categories that an encoder keeps on the driver at most; above that a column is no category.
+#: Categories that an encoder keeps on the driver at most. Codes, means and counts of more are kept as a table in the
+#: shared folder and joined; columns can't be made for them.
 MAX_CATEGORIES = 100_000
 #: Up to so many are written into the plan; more are joined by broadcast.
 IN_PLAN = 200
@@ -22,8 +24,8 @@ def _text(name: str) -> Column:
     return col(name).cast("string")
 
 
-def _categories(df: DataFrame, name: str, order_by=None) -> list[str]:
-    """Distinct values that are not null, as they first appear in the order given, or sorted."""
+def _distinct(df: DataFrame, name: str, order_by=None) -> tuple[DataFrame, list[Column]]:
+    """``v``, the distinct values that are not null, and what orders them: as they first appear in the order given, or sorted."""
     require(df, name)
     known = df.filter(col(name).isNotNull())
     if order_by is None:
@@ -33,25 +35,52 @@ def _categories(df: DataFrame, name: str, order_by=None) -> list[str]:
         order = order_columns(df, order_by)
         found = known.groupBy(_text(name).alias("v")).agg(F.min(F.struct(*order)).alias("o"))
         key = [F.col("o")]
+    return found, key
+
+
+def _categories(df: DataFrame, name: str, order_by=None) -> list[str]:
+    found, key = _distinct(df, name, order_by)
     rows = found.orderBy(*key).limit(MAX_CATEGORIES + 1).select("v").collect()
     if len(rows) > MAX_CATEGORIES:
         raise InvalidArgument(f"{name!r} has more than {MAX_CATEGORIES} categories")
     return [r["v"] for r in rows]
 
 
-def _mapped(df: DataFrame, tables: dict[str, dict[str, float | int]], kind: str, unknown: dict[str, Column]) -> DataFrame:
+def _kept(found: DataFrame, k: str, v: str) -> dict | str:
+    """What ``found`` says of each text, as a mapping or, of more than MAX_CATEGORIES, as the path of a table."""
+    rows = found.orderBy(k).limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) <= MAX_CATEGORIES:
+        return {r[k]: r[v] for r in rows}
+    path = scratch_path(found.sparkSession, "categories")
+    found.select(F.col(k).alias("k"), F.col(v).alias("v")).write.parquet(path)
+    return path
+
+
+def _plain(tables: dict) -> dict:
+    for c, table in tables.items():
+        if isinstance(table, str):
+            raise InvalidArgument(f"the categories of {c!r} are too many for the driver; their table is {table}")
+    return dict(tables)
+
+
+def _mapped(df: DataFrame, tables: dict[str, dict[str, float | int] | str], kind: str, unknown: dict[str, Column]) -> DataFrame:
     """Columns replaced by what the tables say of their text; nulls stay null, the rest takes ``unknown``."""
     out, values = df, {}
     for i, (name, table) in enumerate(tables.items()):
         require(df, name)
-        if len(table) <= IN_PLAN:
+        k, v = fresh(df, f"_k{i}"), fresh(df, f"_v{i}")
+        if isinstance(table, str):
+            held = df.sparkSession.read.parquet(table).select(F.col("k").alias(k), F.col("v").cast(kind).alias(v))
+            out = out.join(held, _text(name) == F.col(k), "left")
+            found = F.col(v)
+        elif len(table) <= IN_PLAN:
             found = F.lit(None).cast(kind)
             if table:
                 found = F.try_element_at(F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.lit(v).cast(kind))]), _text(name))
         else:
-            held = df.sparkSession.createDataFrame(list(table.items()), f"_k{i} string, _v{i} {kind}")
-            out = out.join(F.broadcast(held), _text(name) == F.col(f"_k{i}"), "left")  # MAX_CATEGORIES rows at most
-            found = F.col(f"_v{i}")
+            held = df.sparkSession.createDataFrame(list(table.items()), f"{k} string, {v} {kind}")
+            out = out.join(F.broadcast(held), _text(name) == F.col(k), "left")  # MAX_CATEGORIES rows at most
+            found = F.col(v)
         values[name] = F.when(col(name).isNotNull(), F.coalesce(found, unknown[name]))
     return out.select(*[values.get(c, col(c)).alias(c) for c in df.columns])
 
@@ -98,7 +127,7 @@ class _Codes(Transformer):
 
     @property
     def mapping(self) -> dict[str, int]:
-        return dict(self.state["mapping"])
+        return dict(_plain({self.column: self.state["mapping"]})[self.column])
 
 
 class LabelEncoder(_Codes):
@@ -108,11 +137,17 @@ class LabelEncoder(_Codes):
         self.column, self.order_by = column, order_by
 
     def _fit(self, df: DataFrame, target: str | None) -> dict:
-        return {"mapping": {k: i for i, k in enumerate(_categories(df, self.column, self.order_by))}}
+        found, key = _distinct(df, self.column, self.order_by)
+        return {"mapping": _kept(with_row_id(found, key, "_code").select("v", "_code"), "v", "_code")}
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         """Codes back to the categories' text; an unknown code fails the query."""
-        back = {str(i): k for k, i in self.state["mapping"].items()}
+        back = self.state["mapping"]
+        if isinstance(back, str):
+            found = df.sparkSession.read.parquet(back).select(F.col("v").cast("string").alias("i"), "k")
+            back = _kept(found, "i", "k")
+        else:
+            back = {str(i): k for k, i in back.items()}
         wrong = F.raise_error(F.concat(F.lit("unknown code: "), _text(self.column))).cast("string")
         return _mapped(df, {self.column: back}, "string", {self.column: wrong})
 
@@ -149,10 +184,7 @@ class TargetEncoder(Transformer):
         for c in self.columns:
             both = df.filter(col(c).isNotNull() & y.isNotNull())
             enc = (F.sum(y) + F.lit(self.smooth * mean)) / (F.count(y) + F.lit(float(self.smooth)))
-            rows = both.groupBy(_text(c).alias("k")).agg(enc.alias("v")).orderBy("k").limit(MAX_CATEGORIES + 1).collect()
-            if len(rows) > MAX_CATEGORIES:
-                raise InvalidArgument(f"{c!r} has more than {MAX_CATEGORIES} categories")
-            tables[c] = {r["k"]: r["v"] for r in rows}
+            tables[c] = _kept(both.groupBy(_text(c).alias("k")).agg(enc.alias("v")), "k", "v")
         return {"mean": mean, "mapping": tables}
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -160,7 +192,7 @@ class TargetEncoder(Transformer):
 
     @property
     def mapping(self) -> dict[str, dict[str, float]]:
-        return dict(self.state["mapping"])
+        return _plain(self.state["mapping"])
 
 
 class FrequencyEncoder(Transformer):
@@ -173,11 +205,9 @@ class FrequencyEncoder(Transformer):
         require(df, *self.columns)
         tables = {}
         for c in self.columns:
-            rows = df.filter(col(c).isNotNull()).groupBy(_text(c).alias("k")).count().orderBy("k").limit(MAX_CATEGORIES + 1).collect()
-            if len(rows) > MAX_CATEGORIES:
-                raise InvalidArgument(f"{c!r} has more than {MAX_CATEGORIES} categories")
-            n = sum(r["count"] for r in rows) if self.normalize else 1
-            tables[c] = {r["k"]: r["count"] / n for r in rows}
+            known = df.filter(col(c).isNotNull())
+            n = (known.count() or 1) if self.normalize else 1
+            tables[c] = _kept(known.groupBy(_text(c).alias("k")).agg((F.count(F.lit(1)) / F.lit(n)).alias("v")), "k", "v")
         return {"mapping": tables}
 
     def _transform(self, df: DataFrame) -> DataFrame:
@@ -185,4 +215,4 @@ class FrequencyEncoder(Transformer):
 
     @property
     def mapping(self) -> dict[str, dict[str, float]]:
-        return dict(self.state["mapping"])
+        return _plain(self.state["mapping"])

@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .special import beta_i
 
 
+def _by_value(f: Callable[[float], float], c: Column) -> Column:
+    """A function of a number for a column, in Arrow batches; nulls stay null."""
+
+    @F.pandas_udf("double")
+    def made(x: pd.Series) -> pd.Series:
+        return x.map(f, na_action="ignore").astype(float)
+
+    return made(c.cast("double"))
+
+
 @dataclass(frozen=True)
 class Normal:
     mu: float = 0.0
@@ -36,6 +48,12 @@ class Normal:
         z = (c - self.mu) / self.sigma
         return F.exp(-z * z / 2) / (self.sigma * math.sqrt(2 * math.pi))
 
+    def cdf_column(self, c: Column) -> Column:
+        return _by_value(self.cdf, c)
+
+    def ppf_column(self, c: Column) -> Column:
+        return _by_value(self.ppf, c)
+
     def sample(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         return spark.range(n).select((F.randn(seed) * self.sigma + self.mu).alias("value"))
 
@@ -68,6 +86,15 @@ class Uniform:
     def ppf(self, p: float) -> float:
         return self.low + p * (self.high - self.low)
 
+    def pdf_column(self, c: Column) -> Column:
+        return F.when(c.between(self.low, self.high), 1 / (self.high - self.low)).when(c.isNotNull(), 0.0)
+
+    def cdf_column(self, c: Column) -> Column:
+        return F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), (c - self.low) / (self.high - self.low))))
+
+    def ppf_column(self, c: Column) -> Column:
+        return F.lit(self.low) + c * (self.high - self.low)
+
     def sample(self, spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
         return spark.range(n).select((F.rand(seed) * (self.high - self.low) + self.low).alias("value"))
 
@@ -100,6 +127,12 @@ class Binomial:
             return 0.0
         return 1.0 if k >= self.n else beta_i(self.n - k, k + 1, 1 - self.p)
 
+    def pmf_column(self, c: Column) -> Column:
+        return _by_value(lambda k: self.pmf(int(k)), c)
+
+    def cdf_column(self, c: Column) -> Column:
+        return _by_value(lambda k: self.cdf(int(k)), c)
+
     def sample(self, spark: SparkSession, size: int, seed: int = 0) -> DataFrame:
         """Sums of seeded trials. Every draw and trial has a hash of its own."""
         share = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("id"), k), F.lit(1 << 53)) / float(1 << 53)

@@ -139,8 +139,11 @@ class LogisticRegression(Model):
         labelled = assembled(df, names).select("_features", (col(target) == F.lit(self.classes_[1])).cast("double").alias("_label"))
         strength = 0.0 if self.penalty == "none" else 1 / (self.C * n)
         solver = Solver(featuresCol="_features", labelCol="_label", maxIter=self.max_iter, regParam=strength, elasticNetParam=float(self.penalty == "l1"), standardization=False)
-        model = solver.fit(labelled.persist())
-        labelled.unpersist()
+        labelled.persist()
+        try:
+            model = solver.fit(labelled)
+        finally:
+            labelled.unpersist()
         self.coef_, self.intercept_ = model.coefficients.toArray(), float(model.intercept)
         self.n_iter = model.summary.totalIterations
         return self

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .features import creators, encoders, imputers, scalers, selectors
+from .features.pipeline import Pipeline, load_pipeline
 from .functions import distributions
 from .models import cluster, decomposition, linear, metrics, split, tree
 from .operators import agg, join, missing, order, reshape, select, window
@@ -219,20 +221,22 @@ def rename_withcolumn(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def frame_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem").select("l_quantity")
-    q = F.col("l_quantity")
-    made = {"sum": F.sum(q), "mean": F.avg(q), "median": F.median(q), "std": F.stddev_samp(q), "var": F.var_samp(q), "min": F.min(q), "max": F.max(q), "count": F.count(q)}
-    return x.agg(*[v.alias(f"{k}_q") for k, v in made.items()])
+    made = {"sum": agg.frame_sum, "mean": agg.frame_mean, "median": agg.frame_median, "std": agg.frame_std, "var": agg.frame_var, "min": agg.frame_min, "max": agg.frame_max, "count": agg.frame_count}
+    return _beside([f(x, "l_quantity").withColumnRenamed("l_quantity", f"{k}_q") for k, f in made.items()])
+
+
+def _beside(frames_of_one_row: list[DataFrame]) -> DataFrame:
+    out = frames_of_one_row[0]
+    for more in frames_of_one_row[1:]:
+        out = out.crossJoin(more)  # one row each
+    return out
 
 
 @query("SELECT coalesce(sum(v), 0) AS v_sum, avg(v) AS v_mean, quantile_cont(v, 0.9) AS v_q90, min(v) AS v_min, max(v) AS v_max, count(v) AS v_count, stddev_samp(v) AS v_std FROM (SELECT CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events)")
 def frame_agg_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _gaps(spark, sf_dir, 0).select("v")
     parts = [(agg.frame_sum, "sum"), (agg.frame_mean, "mean"), (lambda d, c: agg.quantile(d, 0.9, c), "q90"), (agg.frame_min, "min"), (agg.frame_max, "max"), (agg.frame_count, "count"), (agg.frame_std, "std")]
-    made = [f(x, "v").withColumnRenamed("v", f"v_{n}") for f, n in parts]
-    out = made[0]
-    for m in made[1:]:
-        out = out.crossJoin(m)  # one row each
-    return out
+    return _beside([f(x, "v").withColumnRenamed("v", f"v_{n}") for f, n in parts])
 
 
 @query(
@@ -394,10 +398,10 @@ def ewm_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window.ewm(table(spark, sf_dir, "events"), 0.3, order_by="event_id", partition_by=["user_id"]).mean("value").select("event_id", "value_mean")
 
 
-@query(_EWM.format("", "0.6", "0.4", "(SELECT * FROM events ORDER BY event_id LIMIT 2000)"))
+# A value 100 rows back weighs 0.4^100, far below the last digit: so many rows give what all do.
+@query(_EWM.replace("UNBOUNDED PRECEDING", "BETWEEN 100 PRECEDING AND CURRENT ROW").format("", "0.6", "0.4", "events"))
 def ewm_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = select.head(table(spark, sf_dir, "events"), 2000, "event_id")
-    return window.ewm(first, 0.6, order_by="event_id").mean("value").select("event_id", "value_mean")
+    return window.ewm(_events(spark, sf_dir), 0.6).mean("value").select("event_id", "value_mean")
 
 
 # --- order ----------------------------------------------------------------
@@ -598,7 +602,11 @@ def simple_imputer_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imputers.SimpleImputer(["v"], "median").fit_transform(_gaps(spark, sf_dir, 0))
 
 
-@query()
+@query(
+    "WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS bal, c_nationkey FROM customer), k AS (SELECT DISTINCT c_nationkey FROM x),"
+    " r AS (SELECT k.c_nationkey, x.bal, row_number() OVER (PARTITION BY k.c_nationkey ORDER BY abs(k.c_nationkey - x.c_nationkey), x.bal) AS p FROM k, x WHERE x.bal IS NOT NULL),"
+    " m AS (SELECT c_nationkey, avg(bal) AS near FROM r WHERE p <= 3 GROUP BY 1) SELECT c_custkey, coalesce(bal, near) AS bal, c_nationkey::DOUBLE AS c_nationkey FROM x JOIN m USING (c_nationkey)"
+)
 def knn_imputer(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_acctbal")).alias("bal"), "c_nationkey")
     return imputers.KNNImputer(3, ["bal", "c_nationkey"]).fit_transform(x)
@@ -679,8 +687,9 @@ def stats_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT max(value) - min(value) AS range, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, quantile_cont(value, 0.9) AS p90, var_samp(value) AS var FROM events")
 def stats_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return table(spark, sf_dir, "events").agg(descriptive.value_range(v).alias("range"), descriptive.iqr(v).alias("iqr"), descriptive.percentile(v, 90).alias("p90"), descriptive.var(v).alias("var"))
+    e, v = table(spark, sf_dir, "events"), F.col("value")
+    rest = _row(spark, "iqr double, p90 double", descriptive.iqr_of(e, "value"), descriptive.percentile_of(e, "value", 90))
+    return _beside([e.agg(descriptive.value_range(v).alias("range"), descriptive.var(v).alias("var")), rest])
 
 
 _CORR = ["l_quantity", "l_extendedprice", "l_discount"]
@@ -886,11 +895,223 @@ def tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.time_windows(table(spark, sf_dir, "events"), "ts", "1 hour", F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), keys=("event_type",))
 
 
-@query()
+@query("SELECT time_bucket(INTERVAL 1 hour, ts) AS window_start, time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour AS window_end, event_type, count(*) AS n FROM events GROUP BY ALL")
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over a stream, with a watermark: windows that are over."""
+    """The same over a stream, with a watermark; windows still open at the end included."""
     events = table(spark, sf_dir, "events")
     path = scratch_path(spark, "events")
     events.write.parquet(path)
     stream = spark.readStream.schema(events.schema).parquet(path)
-    return windows.run_to_end(windows.time_windows(stream, "ts", "1 hour", F.count(F.lit(1)).alias("n"), keys=("event_type",), late="10 minutes"))
+    counted = windows.time_windows(stream, "ts", "1 hour", F.count(F.lit(1)).alias("n"), keys=("event_type",), late="10 minutes")
+    return windows.run_to_end(counted, keys=("window_start", "window_end", "event_type"))
+
+
+# --- operators that the queries above do not reach ------------------------
+
+
+@query("SELECT NULL::DOUBLE AS v, sum(event_id)::DOUBLE AS event_id FROM events")
+def frame_sum_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return agg.frame_sum(_gaps(spark, sf_dir, 0), "v", "event_id", skipna=False)
+
+
+@query("SELECT count(*) AS n_rows, 8::BIGINT AS n_columns FROM (SELECT * FROM lineitem)".replace("8::BIGINT", "(SELECT count(*) FROM (DESCRIBE lineitem))"))
+def frame_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row(spark, "n_rows long, n_columns long", *select.shape(table(spark, sf_dir, "lineitem")))
+
+
+@query("SELECT value FROM events")
+def frame_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.column(table(spark, sf_dir, "events"), "value")
+
+
+@query("SELECT * FROM region WHERE r_name IN ('ASIA', 'EUROPE')")
+def loc_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.loc(table(spark, sf_dir, "region"), ["EUROPE", "ASIA"], "r_name")
+
+
+@query("SELECT * FROM events WHERE ts IN (SELECT min(ts) FROM events UNION SELECT max(ts) FROM events)")
+def loc_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return select.loc(e, list(e.agg(F.max("ts"), F.min("ts")).first()), "ts")
+
+
+@query("SELECT r_name, ['v', 'w', 'x', 'y', 'z'][r_regionkey + 1] AS label FROM region")
+def set_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.set_index(table(spark, sf_dir, "region"), list("vwxyz"), "label", order_by="r_regionkey").select("r_name", "label")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS v FROM events ORDER BY v NULLS FIRST, event_id LIMIT 2000")
+def sort_nulls_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.top_k(_gaps(spark, sf_dir, 0), 2000, ["v", "event_id"], [True, True], nulls_first=True)
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders")
+def sort_one_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.sort(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", ascending=False)
+
+
+@query("SELECT r_name FROM region")
+def sort_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order.sort_index(table(spark, sf_dir, "region"), "r_name", ascending=False).select("r_name")
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, 'a', 0.5::DOUBLE, true), (2, NULL, NULL, false)) t(k, s, x, b)")
+def io_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.from_columns(spark, {"k": [1, 2], "s": ["a", None], "x": [0.5, None], "b": [True, False]})
+
+
+@query("SELECT unnest([1, NULL, 3])::BIGINT AS v")
+def io_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.series(spark, "v", [1, 2, 3], [False, True, False])
+
+
+@query("SELECT n_nationkey::VARCHAR AS col_0, n_name AS col_1, CASE WHEN n_regionkey <> 3 THEN n_regionkey::DOUBLE END AS col_2 FROM nation")
+def io_csv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "csv")
+    csv.write_csv(table(spark, sf_dir, "nation"), path, delimiter="|", header=False)
+    return csv.read_csv(spark, path, delimiter="|", header=False, na_values=["", "3"], dtypes={"col_0": "string", "col_2": "double"}).select(
+        F.coalesce("col_0", F.lit("3")).alias("col_0"), "col_1", "col_2"
+    )
+
+
+_PREPARED = """
+    WITH g AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS v, event_type FROM events),
+    f AS (SELECT event_id, coalesce(v, avg(v) OVER ()) AS v, dense_rank() OVER (ORDER BY event_type) - 1 AS event_type FROM g)
+    SELECT event_id, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS v, event_type FROM f
+"""
+
+
+def _pipeline() -> Pipeline:
+    return Pipeline().add("fill", imputers.SimpleImputer(["v"])).add("scale", scalers.StandardScaler(["v"])).add("code", encoders.LabelEncoder("event_type"))
+
+
+def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("v"), "event_type")
+
+
+@query(_PREPARED)
+def pipeline_fit_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pipeline().fit_transform(_raw_events(spark, sf_dir))
+
+
+@query(_PREPARED)
+def pipeline_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _raw_events(spark, sf_dir)
+    with tempfile.TemporaryDirectory() as folder:  # a file of the driver's
+        _pipeline().fit(x).save(f"{folder}/pipeline.json")
+        return load_pipeline(f"{folder}/pipeline.json").transform(x)
+
+
+@query(
+    "WITH n AS (SELECT count(*) AS n FROM orders), r AS (SELECT o_custkey AS x, o_totalprice AS y, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders),"
+    " f AS (SELECT x, y, CASE WHEN p < (n % 5) * (n // 5 + 1) THEN p // (n // 5 + 1) ELSE n % 5 + (p - (n % 5) * (n // 5 + 1)) // (n // 5) END AS fold FROM r, n),"
+    " m AS (SELECT k.fold, regr_slope(f.y, f.x) AS b, regr_intercept(f.y, f.x) AS a FROM f JOIN (SELECT DISTINCT fold FROM f) k ON f.fold <> k.fold GROUP BY 1),"
+    " t AS (SELECT fold, avg(y) AS my FROM f GROUP BY 1) SELECT fold::BIGINT AS fold, 1 - sum((y - a - b * x) ** 2) / sum((y - my) ** 2) AS score FROM f JOIN m USING (fold) JOIN t USING (fold) GROUP BY 1"
+)
+def cross_val_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    scores = split.cross_val_score(lambda: linear.LinearRegression(features=["o_custkey"]), o, "o_totalprice", metrics.r2_score, n=5, order_by="o_orderkey")
+    return spark.createDataFrame(list(enumerate(scores)), "fold long, score double")
+
+
+@query(
+    "SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) > count(*) OVER (PARTITION BY o_orderstatus) - floor(count(*) OVER (PARTITION BY o_orderstatus) * 0.2) AS test FROM orders"
+)
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    train, test = split.train_test_split(o, 0.2, shuffle=False, stratify="o_orderstatus", order_by="o_orderkey")
+    return train.select("o_orderkey", F.lit(False).alias("test")).unionAll(test.select("o_orderkey", F.lit(True).alias("test")))
+
+
+@query(
+    "WITH k AS (SELECT unnest([0, 1]) AS k), c AS (SELECT k, (count(*) FILTER (quality = k AND toxic = k))::DOUBLE AS hit, (count(*) FILTER (toxic = k))::DOUBLE AS said, (count(*) FILTER (quality = k))::DOUBLE AS there FROM labels, k GROUP BY 1),"
+    " m AS (SELECT avg(coalesce(hit / nullif(said, 0), 0)) AS p, avg(coalesce(hit / nullif(there, 0), 0)) AS r FROM c) SELECT 2 * p * r / (p + r) AS f1_macro FROM m"
+)
+def metrics_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row(spark, "f1_macro double", metrics.f1_score(table(spark, sf_dir, "labels"), "quality", "toxic"))
+
+
+@query(
+    "WITH m AS (SELECT avg(l_tax) AS m, count(*) AS n FROM lineitem), r AS (SELECT 1 - sum((l_tax - l_discount) ** 2) / sum((l_tax - m) ** 2) AS r2, max(n) AS n FROM lineitem, m)"
+    " SELECT 1 - (1 - r2) * (n - 1) / (n - 3 - 1) AS adjusted FROM r"
+)
+def metrics_adjusted_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row(spark, "adjusted double", metrics.adjusted_r2(table(spark, sf_dir, "lineitem"), "l_tax", "l_discount", 3))
+
+
+@query("SELECT covar_samp(l_quantity, l_extendedprice) AS covariance FROM lineitem")
+def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _row(spark, "covariance double", correlation.covariance(table(spark, sf_dir, "lineitem"), "l_quantity", "l_extendedprice"))
+
+
+@query(
+    "WITH c AS (SELECT count(*)::DOUBLE AS o FROM events GROUP BY event_type), e AS (SELECT o, sum(o) OVER () / count(*) OVER () AS e FROM c), s AS (SELECT sum((o - e) ** 2 / e) AS x FROM e)"
+    " SELECT x AS statistic, exp(0 - x / 2) * (1 + x / 2) AS p_value, 4::BIGINT AS df FROM s"
+)
+def chi2_goodness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [float(r["size"]) for r in agg.group_by(table(spark, sf_dir, "events"), "event_type").size().collect()]
+    r = hypothesis.chi_square_gof(counts, [sum(counts) / len(counts)] * len(counts))
+    return _row(spark, "statistic double, p_value double, df long", r.statistic, r.p_value, r.df)
+
+
+_FLAGS = [(r, c) for r in "ANR" for c in "FO"]
+
+
+@query(
+    "WITH o AS (SELECT r, c, (SELECT count(*) FROM lineitem WHERE l_returnflag = r AND l_linestatus = c)::DOUBLE AS o FROM (SELECT unnest(['A', 'N', 'R']) AS r), (SELECT unnest(['F', 'O']) AS c)),"
+    " s AS (SELECT sum((o - n / 6) ** 2 / (n / 6)) AS x FROM o, (SELECT sum(o) AS n FROM o)) SELECT x AS statistic, exp(0 - x / 2) AS p_value FROM s"
+)
+def chi2_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = {(r["l_returnflag"], r["l_linestatus"]): r["size"] for r in agg.group_by(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus").size().collect()}
+    cells = [float(found.get(k, 0)) for k in _FLAGS]
+    even = [[sum(cells) / 6] * 2 for _ in range(3)]
+    r = hypothesis.chi_square([cells[0:2], cells[2:4], cells[4:6]], even)
+    return _row(spark, "statistic double, p_value double", r.statistic, r.p_value)
+
+
+@query(
+    "WITH g AS (SELECT avg(value) AS m FROM events GROUP BY event_type), s AS (SELECT (avg(m) - 50) / (stddev_samp(m) / sqrt(count(*))) AS t FROM g)"
+    " SELECT t AS statistic, 1 - abs(t) / sqrt(4 + t * t) * (1 + 2 / (4 + t * t)) AS p_value FROM s"
+)
+def ttest_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of five means, so of four degrees of freedom, for which the probability has a closed form."""
+    means = agg.group_by(table(spark, sf_dir, "events"), "event_type").agg({"value": "mean"})
+    r = hypothesis.ttest(means, "value", 50)
+    return _row(spark, "statistic double, p_value double", r.statistic, r.p_value)
+
+
+@query(
+    "WITH g AS (SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) AS v FROM lineitem GROUP BY 1), t AS (SELECT avg(l_quantity) AS gm, count(*) AS nn FROM lineitem),"
+    " f AS (SELECT (sum(n * (m - gm) ** 2) / 2) / (sum((n - 1) * v) / (max(nn) - 3)) AS f, max(nn) - 3 AS d FROM g, t) SELECT f AS f_statistic, (1 + 2 * f / d) ** (0 - d / 2.0) AS p_value FROM f"
+)
+def anova_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of three groups, so of two degrees of freedom between them, for which the probability has a closed form."""
+    r = hypothesis.one_way_anova(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_quantity")
+    return _row(spark, "f_statistic double, p_value double", r.f_statistic, r.p_value)
+
+
+@query("SELECT event_id, CASE WHEN value BETWEEN 20 AND 60 THEN 1 / 40.0 ELSE 0.0 END::DOUBLE AS density, least(1.0, greatest(0.0, (value - 20) / 40)) AS share, 20 + (event_id % 10) / 10.0::DOUBLE * 40 AS quantile FROM events")
+def uniform_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, v = distributions.Uniform(20, 60), F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", u.pdf_column(v).alias("density"), u.cdf_column(v).alias("share"), u.ppf_column((F.col("event_id") % 10) / F.lit(10.0)).alias("quantile"))
+
+
+@query(
+    "WITH k AS (SELECT unnest(range(13)) AS k), p AS (SELECT k, CASE WHEN k <= 10 THEN exp(lgamma(11) - lgamma(k + 1) - lgamma(11 - k)) * 0.3 ** k * 0.7 ** (10 - k) ELSE 0 END AS p FROM k),"
+    " c AS (SELECT k, p, sum(p) OVER (ORDER BY k) AS c FROM p) SELECT event_id, p AS probability, c AS share FROM events JOIN c ON event_id % 13 = k".replace("lgamma(11 - k)", "lgamma(greatest(11 - k, 1))")
+)
+def binomial_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b, k = distributions.Binomial(10, 0.3), F.col("event_id") % 13
+    return table(spark, sf_dir, "events").select("event_id", b.pmf_column(k).alias("probability"), b.cdf_column(k).alias("share"))
+
+
+@query(
+    "WITH c AS (SELECT l_quantity AS x, count(*)::DOUBLE AS n, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1),"
+    " w AS (SELECT x, sum(n) OVER a AS n, sum(s) OVER a AS s, lead(x) OVER (ORDER BY x) AS next, sum(n) OVER () AS nn, sum(s) OVER () AS ss FROM c WINDOW a AS (ORDER BY x)),"
+    " b AS (SELECT arg_max((x + next) / 2, s * s / n + (ss - s) ** 2 / (nn - n)) AS t FROM w WHERE next IS NOT NULL)"
+    " SELECT avg(l_extendedprice) AS prediction, count(*) AS n FROM lineitem, b GROUP BY l_quantity <= t"
+)
+def regression_stump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")
+    found = tree.DecisionTreeRegressor(1, features=["l_quantity"]).fit(x, "l_extendedprice").predict(x)
+    return found.groupBy("prediction").agg(F.count(F.lit(1)).alias("n"))

@@ -47,17 +47,25 @@ def _field(array: str, name: str):
     return F.transform(array, lambda r: r[name]).alias(name)
 
 
+#: One JSON text is one row of one task: no more bytes than this are gathered.
+MAX_TEXT = 1 << 30
+
+
 def write_json(df: DataFrame, path: str, orient: str = "records", lines: bool = False, mode: str = "error", indent: int | None = None) -> None:
     """lines: a folder of files, written in parallel, nulls written out.
 
-    records and columns are one JSON text; one task gathers it, so these are for
-    results of moderate size.
+    records and columns are one JSON text, which one task gathers: frames whose
+    text would be above MAX_TEXT bytes are InvalidArgument, and are written as lines.
     """
     if orient not in ("records", "columns"):
         raise InvalidArgument(f"orient is records or columns, not {orient!r}")
     if lines:
         df.write.mode(mode).option("ignoreNullFields", False).json(path)
         return
+    row = F.to_json(F.struct(*[col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    size = df.agg(F.sum(F.octet_length(row))).first()[0] or 0
+    if size > MAX_TEXT:
+        raise InvalidArgument(f"{size} bytes are too many for one JSON text; write lines")
     options = {"ignoreNullFields": "false"} | ({"pretty": "true"} if indent else {})
     if orient == "records":
         whole = df.agg(F.to_json(F.collect_list(F.struct(*[col(c) for c in df.columns])), options).alias("value"))

@@ -189,3 +189,66 @@ def test_sorting_puts_nulls_where_asked(spark):
         known = [1, 2] if up else [2, 1]
         assert got == ([None, *known] if first else [*known, None])
     assert [r["s"] for r in order.sort_index(df.filter(F.col("s").isNotNull()), "s", False).collect()] == ["b", "a"]
+
+
+def test_many_categories_are_kept_as_a_table(spark, monkeypatch):
+    from loomframe.features import encoders
+
+    rows = [(i, f"c{i * i % 37}", float(i)) for i in range(400)] + [(400, None, 1.0)]
+    df = spark.createDataFrame(rows, "i int, c string, y double")
+    other = df.unionAll(spark.createDataFrame([(401, "new", 0.0)], df.schema))
+    made = []
+    for most in (100_000, 5):
+        monkeypatch.setattr(encoders, "MAX_CATEGORIES", most)
+        label = ft.LabelEncoder("c", order_by=["i"])
+        coded = label.fit_transform(df)
+        back = label.inverse_transform(coded).orderBy("i").collect()
+        assert [r["c"] for r in back] == [c for _, c, _ in rows]
+        frames = [coded, ft.FrequencyEncoder(["c"], normalize=True).fit(df).transform(other), ft.TargetEncoder(["c"]).fit(df, "y").transform(other)]
+        made.append([sorted(map(str, f.collect())) for f in frames])
+        assert isinstance(label.state["mapping"], dict) == (most > 5)
+    assert made[0] == made[1]
+    with pytest.raises(Exception, match="too many"):
+        label.mapping  # noqa: B018
+
+
+def test_json_texts_have_a_bound(spark, tmp_path, monkeypatch):
+    from loomframe.sources import json
+
+    df = spark.range(100)
+    monkeypatch.setattr(json, "MAX_TEXT", 10)
+    with pytest.raises(Exception, match="write lines"):
+        json.write_json(df, str(tmp_path / "a"))
+    json.write_json(df, str(tmp_path / "b"), lines=True)
+    assert json.read_json(spark, str(tmp_path / "b"), lines=True).count() == 100
+
+
+def test_distribution_columns_are_their_functions(spark):
+    from loomframe.functions.distributions import Binomial, Normal, Uniform
+
+    x = [-1.0, 0.0, 0.25, 0.5, 0.75, 1.0, 2.0, None]
+    df = spark.createDataFrame([(v,) for v in x], "x double")
+    for d, names in ((Normal(0.5, 2), ("pdf", "cdf")), (Uniform(0, 2), ("pdf", "cdf")), (Binomial(2, 0.25), ("pmf", "cdf"))):
+        for name in names:
+            c = F.floor("x").cast("double") if isinstance(d, Binomial) else F.col("x")
+            got = [r[0] for r in df.select(getattr(d, f"{name}_column")(c)).collect()]
+            f = getattr(d, name)
+            assert got == [None if v is None else pytest.approx(f(int(np.floor(v)) if isinstance(d, Binomial) else v)) for v in x]
+    shares = spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "p double")
+    for d in (Normal(3, 2), Uniform(1, 5)):
+        assert [r[0] for r in shares.select(d.ppf_column(F.col("p"))).collect()] == pytest.approx([d.ppf(p) for p in (0.1, 0.5, 0.9)])
+
+
+def test_rates_over_a_whole_frame_are_the_recursion(spark, monkeypatch):
+    from loomframe.plans import halo
+
+    monkeypatch.setattr(halo, "BUCKET", 50)
+    r = random.Random(7)
+    v = [r.uniform(0, 100) for _ in range(700)]
+    df = spark.createDataFrame(list(enumerate(v)), "_row long, v double")
+    got = [x["v_mean"] for x in window.ewm(df, 0.3).mean("v").orderBy("_row").collect()]
+    want, now = [], None
+    for x in v:
+        now = x if now is None else 0.3 * x + 0.7 * now
+        want.append(now)
+    assert got == pytest.approx(want, rel=1e-9)
