@@ -150,17 +150,24 @@ def format_chat(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
 def read_back(formatted: DataFrame) -> DataFrame:
     """Adds to :func:`format_chat`'s rows: ``turns`` (role, text) and ``learned`` (unescaped), from ``formatted`` and ``loss`` alone.
 
-    No escaped text holds ``<|``, so the marks part the turns without doubt.
+    No escaped text holds ``<|``, so the marks part the turns without doubt; what
+    is learned is cut out of ``formatted`` by the mask alone. A turn's text is as
+    given but for its placeholders: :func:`format_chat`'s ``attachments`` tell
+    them from a text that spells the same.
     """
     quoted = lambda s: s.replace("|", "\\|")
     pieces = F.filter(F.split("formatted", quoted(END)), lambda p: p != "")
     halves = F.transform(pieces, lambda p: F.split(F.substring(p, len(TURN) + 1, 2**31 - 1), quoted(BODY), 2))
-    learned = F.zip_with(
-        pieces, "loss", lambda p, s: F.when(s["learn"] > 0, unescape(F.substring(p, s["skip"] + 1, s["learn"]))).otherwise("")
-    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("found"))
+
+    def cut(acc: Column, s: Column) -> Column:
+        begin = acc["at"] + s["skip"]
+        return F.struct((begin + s["learn"] + s["tail"]).alias("at"), F.concat(acc["found"], F.array(F.substring("formatted", begin + 1, s["learn"]))).alias("found"))
+
+    spans = F.aggregate("loss", start, cut, lambda acc: acc["found"])
     return formatted.withColumns(
         {
             "turns": F.transform(halves, lambda h: F.struct(unescape(h[0]).alias("role"), unescape(h[1]).alias("text"))),
-            "learned": F.array_join(learned, ""),
+            "learned": F.array_join(F.transform(spans, unescape), ""),
         }
     )

@@ -63,3 +63,24 @@ def test_query_digests(spark):
     assert found[-7]["n_turns"] == 2 and found[-7]["loss_chars"] == len(text)
     assert found[-7]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     assert found[-7]["turns_sha256"] == hashlib.sha256(f"user\n{text}\nassistant\n{text}\n".encode()).hexdigest()
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(1, 0, "user", "hello"), (1, 1, "assistant", "a <|image|1|> b")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("parts", chat.text_part(F.col("text")))
+    plain = chat.read_back(chat.format_chat(df)).collect()
+    for name in ("c", "m", "ms", "steps", "formatted", "loss", "turns", "learned", "body", "others", "attachments", "a.b"):
+        df = df.withColumn(name, F.lit("x"))
+    assert chat.read_back(chat.format_chat(df)).collect() == plain
+    assert plain[0]["learned"] == "a <|image|1|> b" and plain[0]["attachments"] == []
+
+
+def test_the_mask_is_over_the_whole_output(spark):
+    rows = [(1, t, r, x) for t, (r, x) in enumerate([("user", "q <s>"), ("assistant", "\U0001f600 </s> one"), ("tool", "t"), ("assistant", ""), ("assistant", "[INST] two")])]
+    r = formatted(spark, rows).first()
+    at, learned = 0, []
+    for s in r["loss"]:
+        learned.append(r["formatted"][at + s["skip"] : at + s["skip"] + s["learn"]])
+        at += s["skip"] + s["learn"] + s["tail"]
+    assert at == len(r["formatted"]) and [x.replace("\\", "") for x in learned if x] == ["\U0001f600 </s> one", "[INST] two"]
+    assert r["learned"] == "\U0001f600 </s> one[INST] two"

@@ -118,3 +118,12 @@ def test_a_hot_key_is_spread_over_its_shards_files(spark, tmp_path):
 def test_too_many_slots():
     with pytest.raises(ValueError, match="more than"):
         sharding.fill_table(["a"], sharding.MAX_SLOTS + 1)
+
+
+def test_long_keys(spark):
+    keys = ["k" * 1_000_000, "k" * 1_000_000, "k" * 999_999, "", None]
+    placed = sharding.assign_shards(spark.createDataFrame([(k, "x") for k in keys], "key string, v string"), ["key"], 5, 101).collect()
+    owner = sharding.fill_table([f"shard-{k:05d}" for k in range(5)], 101)
+    for r in placed:
+        h = 42 if r["key"] is None else xxhash.xxh64_intdigest(r["key"].encode(), 42)
+        assert r["slot"] == (h - 2**64 if h >= 2**63 else h) % 101 and r["shard"] == owner[r["slot"]]
