@@ -114,14 +114,14 @@ def test_pipelines_keep_what_they_learned(make, tmp_path):
 
 
 def test_linear_models(make):
-    df = make(x=[1.0, 2.0, 3.0, 4.0, 5.0], y=[3.0, 5.0, 7.0, 9.0, 11.0])
+    df = make(x=[0.0, 1.0, 2.0, 4.0, 6.0], y=[-2.0, 1.0, 4.0, 10.0, 16.0])
     m = md.LinearRegression().fit(df, "y")
-    assert m.coef["x"] == pytest.approx(2) and m.intercept == pytest.approx(1) and m.score(df, "y") == pytest.approx(1)
-    assert values(m.predict(make(x=[6.0, 7.0, 8.0])), "prediction") == pytest.approx([13, 15, 17])
+    assert m.coef["x"] == pytest.approx(3) and m.intercept == pytest.approx(-2) and m.score(df, "y") == pytest.approx(1)
+    assert values(m.predict(make(x=[5.0, 9.0])), "prediction") == pytest.approx([13, 25])
     with pytest.raises(errors.InvalidArgument):
         md.LinearRegression().fit(df.withColumn("z", F.col("x") * 2), "y")
-    assert md.Ridge(0).fit(df, "y").coef["x"] == pytest.approx(2)
-    assert md.Ridge(10).fit(df, "y").coef["x"] == pytest.approx(20 / 20)
+    assert md.Ridge(0).fit(df, "y").coef["x"] == pytest.approx(3)
+    assert md.Ridge(10).fit(df, "y").coef["x"] == pytest.approx(3 * 23.2 / (23.2 + 10))  # 23.2: squares of x about its mean
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 3))
     y = 3 * x[:, 0] + 0.01 * rng.normal(size=60)
@@ -178,17 +178,17 @@ def test_splits(make):
 
 
 def test_metrics(make):
-    df = make(t=list("ABABABAA"), p=list("ABAAABAA"))
-    assert metrics.accuracy(df, "t", "p") == 7 / 8
-    assert metrics.precision(df, "t", "p") == pytest.approx((5 / 6 + 1) / 2)
-    assert metrics.recall(df, "t", "p", "binary") == pytest.approx(2 / 3)
-    assert metrics.precision(df, "t", "p", "micro") == 7 / 8
+    df = make(t=list("xxyyxyyxx"), p=list("xyyyxxyxx"))
+    assert metrics.accuracy(df, "t", "p") == 7 / 9
+    assert metrics.precision(df, "t", "p") == pytest.approx((4 / 5 + 3 / 4) / 2)
+    assert metrics.recall(df, "t", "p", "binary") == pytest.approx(3 / 4)
+    assert metrics.precision(df, "t", "p", "micro") == 7 / 9
     assert 0 < metrics.f1_score(df, "t", "p", "weighted") < 1
-    assert [tuple(r) for r in metrics.confusion_matrix(df, "t", "p").collect()] == [("A", 5, 0), ("B", 1, 2)]
+    assert [tuple(r) for r in metrics.confusion_matrix(df, "t", "p").collect()] == [("x", 4, 1), ("y", 1, 3)]
     assert metrics.classification_report(df, "t", "p").count() == 2
-    r = make(t=[1.0, 2.0, 3.0, 4.0, 5.0], p=[1.1, 2.1, 2.9, 4.2, 4.8])
-    assert metrics.mse(r, "t", "p") == pytest.approx(0.022) and metrics.mae(r, "t", "p") == pytest.approx(0.14) and metrics.r2_score(r, "t", "p") == pytest.approx(0.989)
-    assert metrics.adjusted_r2(r, "t", "p", 1) < 0.989 and math.isnan(metrics.adjusted_r2(r, "t", "p", 4))
+    r = make(t=[2.0, 4.0, 6.0, 8.0], p=[2.5, 4.0, 5.0, 8.5])
+    assert metrics.mse(r, "t", "p") == pytest.approx(0.375) and metrics.mae(r, "t", "p") == pytest.approx(0.5) and metrics.r2_score(r, "t", "p") == pytest.approx(0.925)
+    assert metrics.adjusted_r2(r, "t", "p", 1) == pytest.approx(1 - 0.075 * 3 / 2) and math.isnan(metrics.adjusted_r2(r, "t", "p", 3))
 
 
 def test_statistics(make):
