@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import col, require
+from ..columns import col, fresh, require
 from ..errors import InvalidArgument
 from ..rows import ROW, order_columns, with_row_id
 
@@ -17,16 +17,17 @@ def _order(df: DataFrame, order_by, shuffle: bool, seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(seed), *order), *order] if shuffle else order
 
 
-def _within(df: DataFrame, label: str, order: list[Column]) -> DataFrame:
-    """``df`` with ``_at``, the position within the row's class, and ``_n``, the rows of the class.
+def _within(df: DataFrame, label: str, order: list[Column]) -> tuple[DataFrame, str, str]:
+    """``df`` with the position within the row's class and the rows of the class, and these columns' names.
 
     Rows are numbered over the whole frame, by class, so that a class that has
     most rows is still shared among tasks; a class begins at its smallest number.
     """
-    placed = with_row_id(df, [col(label), *order], "_all")
-    begins = placed.groupBy(col(label).alias("_label")).agg(F.min("_all").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    both = placed.join(begins, col(label).eqNullSafe(F.col("_label")))
-    return both.withColumn("_at", F.col("_all") - F.col("_first")).drop("_label", "_first", "_all")
+    at, n, of, first = (fresh(df, c) for c in ("_at", "_n", "_label", "_first"))
+    placed = with_row_id(df, [col(label), *order], at)
+    begins = placed.groupBy(col(label).alias(of)).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    both = placed.join(begins, col(label).eqNullSafe(F.col(of)))
+    return both.withColumn(at, F.col(at) - F.col(first)).drop(of, first), at, n
 
 
 def train_test_split(
@@ -42,33 +43,36 @@ def train_test_split(
     keep = df.columns
     if stratify is not None:
         require(df, stratify)
-        marked = _within(df.filter(col(stratify).isNotNull()), stratify, _order(df, order_by, shuffle, seed))
-        test = F.col("_at") >= F.col("_n") - F.floor(F.col("_n") * F.lit(test_size))
+        marked, at, n = _within(df.filter(col(stratify).isNotNull()), stratify, _order(df, order_by, shuffle, seed))
+        test = F.col(at) >= F.col(n) - F.floor(F.col(n) * F.lit(test_size))
     else:
-        marked = with_row_id(df, _order(df, order_by, shuffle, seed), "_at")
-        n = marked.count()
-        test = F.col("_at") >= n - int(n * test_size)
-    return marked.filter(~test).select(*keep), marked.filter(test).select(*keep)
+        at = fresh(df, "_at")
+        marked = with_row_id(df, _order(df, order_by, shuffle, seed), at)
+        rows = marked.count()
+        test = F.col(at) >= rows - int(rows * test_size)
+    kept = [col(c) for c in keep]
+    return marked.filter(~test).select(*kept), marked.filter(test).select(*kept)
 
 
 def kfold_assign(df: DataFrame, n: int = 5, shuffle: bool = False, seed: int = 0, order_by=None, name: str = "fold") -> DataFrame:
     """``df`` with its fold, 0 to n - 1. Folds are consecutive; the first (rows mod n) have a row more."""
     n = n if n >= 2 else 5
-    marked = with_row_id(df, _order(df, order_by, shuffle, seed), "_at")
+    place = fresh(df, "_at")
+    marked = with_row_id(df, _order(df, order_by, shuffle, seed), place)
     rows = marked.count()
     size, more = divmod(rows, n)
-    at, edge = F.col("_at"), more * (size + 1)
+    at, edge = F.col(place), more * (size + 1)
     fold = F.when(at < edge, F.floor(at / F.lit(size + 1)))
     fold = fold.otherwise(more + F.floor((at - edge) / F.lit(max(size, 1))))
-    return marked.withColumn(name, fold.cast("long")).drop("_at", *([] if ROW in df.columns else [ROW]))
+    return marked.withColumn(name, fold.cast("long")).drop(place, *([] if ROW in df.columns else [ROW]))
 
 
 def stratified_kfold_assign(df: DataFrame, label: str, n: int = 5, shuffle: bool = False, seed: int = 0, order_by=None, name: str = "fold") -> DataFrame:
     """``df`` with its fold: rows of each class are dealt out in turn."""
     require(df, label)
     n = n if n >= 2 else 5
-    marked = _within(df, label, _order(df, order_by, shuffle, seed))
-    return marked.withColumn(name, (F.col("_at") % n).cast("long")).drop("_at", "_n", *([] if ROW in df.columns else [ROW]))
+    marked, at, rows = _within(df, label, _order(df, order_by, shuffle, seed))
+    return marked.withColumn(name, (F.col(at) % n).cast("long")).drop(at, rows, *([] if ROW in df.columns else [ROW]))
 
 
 def folds(df: DataFrame, n: int, fold: str = "fold") -> Iterator[tuple[DataFrame, DataFrame]]:
