@@ -976,13 +976,13 @@ def io_csv_options(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PREPARED = """
     WITH g AS (SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS v, event_type FROM events),
-    f AS (SELECT event_id, coalesce(v, avg(v) OVER ()) AS v, dense_rank() OVER (ORDER BY event_type) - 1 AS event_type FROM g)
+    f AS (SELECT event_id, coalesce(v, 10.0) AS v, dense_rank() OVER (ORDER BY event_type) - 1 AS event_type FROM g)
     SELECT event_id, (v - avg(v) OVER ()) / stddev_samp(v) OVER () AS v, event_type FROM f
 """
 
 
 def _pipeline() -> Pipeline:
-    return Pipeline().add("fill", imputers.SimpleImputer(["v"])).add("scale", scalers.StandardScaler(["v"])).add("code", encoders.LabelEncoder("event_type"))
+    return Pipeline().add("fill", imputers.SimpleImputer(["v"], "constant", 10.0)).add("scale", scalers.StandardScaler(["v"])).add("code", encoders.LabelEncoder("event_type"))
 
 
 def _raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
