@@ -31,30 +31,40 @@ CACHE = 200_000
 
 
 class _Numbers(dict):
-    """32-bit numbers of tokens, remembered within a bound."""
+    """16-bit numbers of tokens, remembered within a bound."""
 
     def __missing__(self, token: str) -> int:
         import xxhash
 
         if len(self) >= CACHE:
             self.clear()
-        n = self[token] = xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass"))
+        n = self[token] = xxhash.xxh32_intdigest(token.encode("utf-8", "surrogatepass")) >> 16
         return n
 
 
 _NUMBERS = _Numbers()
 
 
-def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """The buckets of a text's words and word pairs, repeats included."""
+def numbers(text: str) -> np.ndarray:
+    """The 16-bit numbers of a text's words, in order."""
     tokens = TOKEN.findall(text.lower())
-    one = np.fromiter(map(_NUMBERS.__getitem__, tokens), np.uint64, len(tokens))
+    return np.fromiter(map(_NUMBERS.__getitem__, tokens), np.uint16, len(tokens))
+
+
+def bucketed(words: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """The buckets of words and word pairs, repeats included, from their numbers."""
+    one = words.astype(np.uint64)
     mixed = one * np.uint64(0x9E3779B97F4A7C15)
     pair = (mixed[:-1] ^ (one[1:] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
     both = np.concatenate([mixed, pair])
     return (both >> np.uint64(40)).astype(np.int64) % buckets
 
 
+def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
+    """The buckets of a text's words and word pairs, repeats included."""
+    return bucketed(numbers(text), buckets)
+
+
 def _labelled(labels: DataFrame, id_col: str, label_col: str, limit: int) -> DataFrame:
     """A bounded sample of labelled rows: ``_id`` and ``_good`` (0 or 1)."""
     known = labels.select(col(id_col).alias("_id"), col(label_col).cast("int").alias("_good")).dropna()
@@ -62,27 +72,27 @@ def _labelled(labels: DataFrame, id_col: str, label_col: str, limit: int) -> Dat
     return known.orderBy(F.xxhash64(F.lit(SEED), "_id"), "_id").limit(limit)
 
 
-def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> DataFrame:
-    """``id``, ``_k1``, ``_k2`` and ``f``, the text's :func:`features` as little-endian numbers of :func:`_width`, for each row. Texts are read here alone."""
+def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``_k1``, ``_k2`` and ``words``, the text's :func:`numbers` (little-endian), for each row. Texts are read here alone."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(col(id_col).alias("id"), *row_keys(id_col, text_col), text_of(text_col).alias("t"))
     kind = source.schema["id"].dataType
-    schema = pa.schema([("id", to_arrow_type(kind)), ("_k1", pa.int64()), ("_k2", pa.int64()), ("f", pa.binary())])
+    schema = pa.schema([("id", to_arrow_type(kind)), ("_k1", pa.int64()), ("_k2", pa.int64()), ("words", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = [features(t, buckets).astype(_width(buckets)).tobytes() for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(f, pa.binary())], schema=schema)
+            words = [numbers(t).astype("<u2").tobytes() for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(words, pa.binary())], schema=schema)
 
-    return materialise(source.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, f binary"), "features")
+    return materialise(source.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, words binary"), "words")
 
 
-def _width(buckets: int) -> str:
-    return "<u2" if buckets <= 1 << 16 else "<u4"
+def _read(words: pa.BinaryScalar, buckets: int) -> np.ndarray:
+    return bucketed(np.frombuffer(words.as_buffer(), "<u2"), buckets)
 
 
-def fit(features_of: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", limit: int = MAX_LABELLED, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
+def fit(words_of: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", limit: int = MAX_LABELLED, buckets: int = BUCKETS) -> tuple[np.ndarray, float]:
     """(log ratio of target to raw by bucket, share of good rows among the labelled), from :func:`hashed` documents.
 
     Raw counts are over all of them; the target is those that the sample of
@@ -94,13 +104,13 @@ def fit(features_of: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
     if not n or not good:
         return np.zeros(buckets), 1.0
     known = F.broadcast(sample.filter("_good > 0").select(F.col("_id").alias("id"), F.lit(True).alias("g")))  # `limit` rows at most
-    marked = features_of.join(known, "id", "left").select("g", "f")
+    marked = words_of.join(known, "id", "left").select("g", "words")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
         for b in batches:
-            for g, f in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                found = np.frombuffer(f.as_buffer(), _width(buckets))
+            for g, words in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                found = _read(words, buckets)
                 if len(found) > buckets:
                     found = np.bincount(found, minlength=buckets)
                     raw += found
@@ -123,21 +133,21 @@ def fit(features_of: DataFrame, labels: DataFrame, id_col: str = "doc_id", label
     return np.log(p) - np.log(q), good / n
 
 
-def score(features_of: DataFrame, log_ratio: np.ndarray) -> DataFrame:
+def score(words_of: DataFrame, log_ratio: np.ndarray) -> DataFrame:
     """``id``, ``_k1``, ``_k2``, ``log_importance`` for each :func:`hashed` row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = features_of.schema["id"].dataType
-    shared = features_of.sparkSession.sparkContext.broadcast(log_ratio)
+    kind = words_of.schema["id"].dataType
+    shared = words_of.sparkSession.sparkContext.broadcast(log_ratio)
     schema = pa.schema([("id", to_arrow_type(kind)), ("_k1", pa.int64()), ("_k2", pa.int64()), ("log_importance", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for b in batches:
-            s = [float(w[np.frombuffer(f.as_buffer(), _width(len(w)))].sum()) for f in b.column(3)]
+            s = [float(w[_read(words, len(w))].sum()) for words in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s, pa.float64())], schema=schema)
 
-    return features_of.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, log_importance double")
+    return words_of.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, log_importance double")
 
 
 def top_k_threshold(keys: DataFrame, k: int) -> int | None:

@@ -37,7 +37,7 @@ def test_held_out_accuracy(spark, docs_of):
 
 def test_the_model_is_the_one_counted_by_hand(spark, docs_of):
     rows, labels = corpus(120)
-    w, share = quality.fit(quality.hashed(docs_of(rows), buckets=997), labels_of(spark, labels[:60]), buckets=997)
+    w, share = quality.fit(quality.hashed(docs_of(rows)), labels_of(spark, labels[:60]), buckets=997)
     raw, target = np.zeros(997), np.zeros(997)
     good = {i for i, q in labels[:60] if q}
     for i, t in rows:
@@ -79,8 +79,9 @@ def test_edges(spark, docs_of):
 
 def brute_features(text):
     tokens = re.findall(r"\w+|[^\w\s]+", text.lower())
-    one = [xxhash.xxh32_intdigest(t.encode()) * 0x9E3779B97F4A7C15 % 2**64 for t in tokens]
-    two = [(a ^ (xxhash.xxh32_intdigest(t.encode()) * 0xC2B2AE3D27D4EB4F + 1) % 2**64) * 0x9E3779B97F4A7C15 % 2**64 for a, t in zip(one, tokens[1:], strict=False)]
+    number = [xxhash.xxh32_intdigest(t.encode()) >> 16 for t in tokens]
+    one = [n * 0x9E3779B97F4A7C15 % 2**64 for n in number]
+    two = [(a ^ (n * 0xC2B2AE3D27D4EB4F + 1) % 2**64) * 0x9E3779B97F4A7C15 % 2**64 for a, n in zip(one, number[1:], strict=False)]
     return [(h >> 40) % 65_536 for h in one + two]
 
 
