@@ -1,10 +1,8 @@
 import random
-import re
-import struct
 from collections import defaultdict
 
+import brute
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from loomframe.llm import mixing, queries
@@ -90,19 +88,6 @@ def test_targets_that_contradict_are_told(spark, max_cells, monkeypatch):
     assert {round(r["residual"], 3) for r in rows} == {4.0}
 
 
-def hashed(*values):
-    h = 42
-    for v in values:
-        if v is not None:
-            raw = v.encode() if isinstance(v, str) else struct.pack("<i" if isinstance(v, Small) else "<q", v)
-            h = xxhash.xxh64_intdigest(raw, h)
-    return h - 2**64 if h >= 2**63 else h
-
-
-class Small(int):
-    """A literal, hashed as four bytes."""
-
-
 def test_the_query_against_brute_force(spark, tmp_path):
     r = random.Random(12)
     rows = []
@@ -111,45 +96,9 @@ def test_the_query_against_brute_force(spark, tmp_path):
         rows.append((i, " ".join(words), r.choice(["en", "en", "de", "it", None]), "hot" if i % 3 else f"s{i % 4}", 0))
     rows += [(400, None, "en", "hot", None), (401, "", None, None, 0), (7, rows[7][1], "en", "hot", 0)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    cells, of = defaultdict(int), []
-    for i, t, lang, source, _ in rows:
-        t = t or ""
-        found = [hashed(w) % 8 for w in re.findall(r"[^\W\d_]{6,}", t.lower())]
-        topic = f"t{max(range(8), key=lambda k: (found.count(k), -k))}" if found else None
-        of.append((source, lang, topic))
-        cells[source, lang, topic] += len(t.split())
-    whole = sum(cells.values())
-    weight = dict.fromkeys(cells, 1.0)
-    goals = []
-    for d in range(3):
-        now = defaultdict(float)
-        for c, n in cells.items():
-            now[c[d]] += n
-        if d == 1:
-            named = {"en": 0.52, "fr": 0.16, "de": 0.16, "es": 0.11}
-            rest = sum(n for v, n in now.items() if v not in named)
-            share = {v: (named[v] if v in named else 0.05 * n / rest) if n else 0.0 for v, n in now.items()}
-        else:
-            share = {v: (n / whole) ** (0.8, 0, 0.9)[d] if n else 0.0 for v, n in now.items()}
-        goals.append({v: x * whole / sum(share.values()) for v, x in share.items()})
-    for _ in range(3000):
-        for d in range(3):
-            now = defaultdict(float)
-            for c, n in cells.items():
-                now[c[d]] += weight[c] * n
-            for c in cells:
-                weight[c] *= goals[d][c[d]] / now[c[d]] if now[c[d]] else 1.0
-    low, high = 0.0, 1e9
-    for _ in range(200):  # bisection for the scale
-        mid = (low + high) / 2
-        low, high = (mid, high) if sum(min(1.0, weight[c] * mid) * n for c, n in cells.items()) < 0.8 * whole else (low, mid)
     got = sorted((r["doc_id"], r["source"] or "", r["lang"] or "", r["topic"] or "", r["tokens"], r["kept"], r["probability"]) for r in queries.op4_mixing(spark, str(tmp_path)).collect())
-    want = []
-    for (i, t, *_), c in zip(rows, of, strict=True):
-        keys = hashed(Small(1), i, t or ""), hashed(Small(2), t or "", i)
-        u = ((hashed(Small(42), "mix", *keys) % 2**64 >> 11) + 0.5) * 2.0**-53
-        p = min(1.0, weight[c] * low)
-        want.append((i, *(x or "" for x in c), len((t or "").split()), u < p, p))
+    found = brute.mixing([r[:4] for r in rows])
+    want = [(r[0], *(x or "" for x in c), n, kept, p) for r, (c, n, p, kept) in zip(rows, found, strict=True)]
     want.sort()
     assert [g[:6] for g in got] == [w[:6] for w in want]
     assert [g[6] for g in got] == pytest.approx([w[6] for w in want], abs=1e-4)

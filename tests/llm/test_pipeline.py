@@ -3,11 +3,12 @@
 import random
 import re
 
+import brute
 import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from loomframe.llm import mixing, packing, quality
+from loomframe.llm import packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -39,7 +40,8 @@ def test_stages_in_order(spark, sf_dir):
     stage = dict(corpus_pipeline.STAGES)
 
     kept = stage["quality"](spark, docs, sf_dir)
-    good = {r["doc_id"] for r in quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).collect() if r["kept"]}
+    labels = [(r["doc_id"], r["quality"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    _, good = brute.quality([r[:2] for r in rows], labels)
     want = [r for r in rows if r[0] in good]
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want)) and kept.columns == docs.columns
 
@@ -71,8 +73,7 @@ def test_stages_in_order(spark, sf_dir):
     assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
 
     sampled = stage["mixing"](spark, kept, sf_dir)
-    chosen = {r["doc_id"] for r in mixing.mix_documents(kept).collect() if r["kept"]}
-    want = [r for r in want if r[0] in chosen]
+    want = [r for r, (*_, chosen) in zip(want, brute.mixing([r[:4] for r in want]), strict=True) if chosen]
     assert sorted(map(str, map(tuple, sampled.collect()))) == sorted(map(str, want)) and want
 
     packed = stage["packing"](spark, sampled, sf_dir).collect()

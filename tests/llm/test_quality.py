@@ -1,12 +1,8 @@
-import math
 import random
-import re
-import struct
-from collections import Counter
 
+import brute
 import numpy as np
 import pytest
-import xxhash
 
 from loomframe.llm import quality, queries
 
@@ -77,46 +73,13 @@ def test_edges(spark, docs_of):
     assert quality.keep_good(docs_of(rows), labels_of(spark, [(1, 0)])).count() == 6
 
 
-def brute_features(text):
-    tokens = re.findall(r"\w+|[^\w\s]+", text.lower())
-    number = [xxhash.xxh32_intdigest(t.encode()) >> 16 for t in tokens]
-    one = [n * 0x9E3779B97F4A7C15 % 2**64 for n in number]
-    two = [(a ^ (n * 0xC2B2AE3D27D4EB4F + 1) % 2**64) * 0x9E3779B97F4A7C15 % 2**64 for a, n in zip(one, number[1:], strict=False)]
-    return [(h >> 40) % 65_536 for h in one + two]
-
-
-def hashed(*values):
-    """Spark's xxhash64 of literals (4 bytes), ids and texts."""
-    h = 42
-    for raw in values:
-        h = xxhash.xxh64_intdigest(raw, h)
-    return h
-
-
 def test_the_query_against_brute_force(spark, tmp_path):
     rows, labels = corpus(300)
     rows += [(300, None), (301, ""), (302, "Ünï ¡code! 日本 " * 30), (303, "long " * 30_000), (304, rows[0][1])]
     labels = [(i, q, 0) for i, q in labels[:150]] + [(303, 1, 0), (5000, 1, 0)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    good = {i for i, q, _ in labels if q}
-    raw, target = Counter(), Counter()
-    for i, t in rows:
-        f = brute_features(t or "")
-        raw.update(f)
-        if i in good:
-            target.update(f)
-    all_raw, all_target = sum(raw.values()) + 0.5 * 65_536, sum(target.values()) + 0.5 * 65_536
-    want = {}
-    for i, t in rows:
-        t = t or ""
-        score = sum(math.log((target[b] + 0.5) / all_target) - math.log((raw[b] + 0.5) / all_raw) for b in brute_features(t))
-        key = struct.pack("<q", i)
-        k1, k2 = hashed(struct.pack("<i", 1), key, t.encode()), hashed(struct.pack("<i", 2), t.encode(), key)
-        u = ((hashed(struct.pack("<i", 42), struct.pack("<Q", k1), struct.pack("<Q", k2)) >> 11) + 0.5) * 2.0**-53
-        want[i] = score, score - math.log(-math.log(u))
-    k = round(len(rows) * len(good) / len(labels))
-    kept = set(sorted(want, key=lambda i: -want[i][1])[:k])
+    want, kept = brute.quality(rows, [r[:2] for r in labels])
     got = {r["doc_id"]: r for r in queries.op6_quality(spark, str(tmp_path)).collect()}
     assert set(got) == set(want) and {i for i, r in got.items() if r["kept"]} == kept
     for i, r in got.items():
