@@ -22,7 +22,7 @@ from .halo import from_start
 #: Frames of up to so many rows are left to Spark's percentile.
 MODERATE = 5_000_000
 BINS = 4096
-#: Inputs of groups of up to so many bytes, as the optimizer estimates them, are left to Spark's percentile.
+#: Groups of what reads up to so many bytes, as the optimizer estimates them, are left to Spark's percentile.
 MODERATE_BYTES = 4 << 30
 #: So many values are gathered and sorted on the driver at the end.
 FEW = 10_000
@@ -85,8 +85,9 @@ def _order_statistic(x: DataFrame, k: int, n: int, low: float, high: float) -> f
 
 
 def is_large(df: DataFrame) -> bool:
-    """The optimizer's estimate of ``df`` is above MODERATE_BYTES. No job is run."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > MODERATE_BYTES
+    """What ``df`` reads is above MODERATE_BYTES by the optimizer's estimates (of its sources: those of joins are products). No job is run."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())) > MODERATE_BYTES
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], name: str, qs: Sequence[float]) -> DataFrame:
