@@ -107,6 +107,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of equal normalised texts, all columns kept."""
+    """``docs`` with one document of each group of equal normalised texts, that which :func:`exact_dedup` keeps.
+
+    Null and empty texts are one group, rows that agree in id and text are one
+    document, a null id comes last, and an empty table gives an empty table. All
+    columns are kept whatever their names.
+    """
     keep = exact_dedup(docs, id_col, text_col).filter("kept")
     return keep_rows(docs, keep, id_col, text_col, once=True)

@@ -90,6 +90,22 @@ def test_every_stage_takes_an_empty_table(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_extra_columns_with_clashing_names(spark, sf_dir, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60 OR doc_id >= 1000")
+    for name in ("_k1", "_id", "id", "t", "f", "g", "k", "n", "kept", "recipe", "uid", "component", "least", "d0", "tokens", "piece", "length", "part", "Words"):
+        docs = docs.withColumn(name, F.lit("x"))
+    stage, kept = dict(corpus_pipeline.STAGES), docs
+    for name in ("quality", "exact_dedup", "near_dedup", "mixing"):
+        kept = stage[name](spark, kept, sf_dir)
+        assert kept.columns == docs.columns and kept.filter("_k1 <> 'x' OR Words <> 'x'").isEmpty(), name
+    packed = stage["packing"](spark, kept, sf_dir)
+    plain = stage["packing"](spark, kept.select("doc_id", "text", "lang", "source", "n_chars"), sf_dir)
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert sorted(map(str, packed.select(columns).collect())) == sorted(map(str, plain.select(columns).collect())) and packed.count() > 30
+
+
 def test_entry_registers_all(spark):
     import __spark_entry__ as e
 
