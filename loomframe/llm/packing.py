@@ -70,20 +70,18 @@ class _Words:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
+        told = _told(path)
         added = told.get("added_tokens") or []
         plain = all(not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
         model = {k: v for k, v in told["model"].items() if k not in ("vocab", "merges")}
         self.whole = not plain or {k: told.get(k) for k in RULES if k != "model"} | {"model": model} != RULES
+        self.tokenizer = Tokenizer.from_file(path)
         if self.whole:
             return
         self.added = {t["content"]: np.asarray([t["id"]], "<u4").tobytes() for t in added}
         self.cut = re.compile("|".join(re.escape(c) for c in sorted(self.added, key=len, reverse=True))) if added else None
-        self.between = Tokenizer.from_file(path)
-        self.between.encode_special_tokens = True  # the strings of added tokens are cut out before; what lower case makes of others is no added token
-        self.model = self.between.model
+        self.tokenizer.encode_special_tokens = True  # the strings of added tokens are cut out before; what lower case makes of others is no added token
+        self.model = self.tokenizer.model
         self.bytes_of = _byte_letters()
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
@@ -125,10 +123,21 @@ class _Words:
             letters = word.encode().decode("latin-1").translate(self.bytes_of)
             ids = [t.id for t in self.model.tokenize(letters)]
         else:
-            ids = self.between.encode(word, add_special_tokens=False).ids
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return np.asarray(ids, "<u4").tobytes()
 
 
+def _told(path: str) -> dict:
+    """What a tokenizer's file says but for its vocabulary, which is large and comes last."""
+    with open(path, encoding="utf-8") as f:
+        text = f.read()
+    head, vocabulary, _ = text.partition('"vocab"')
+    try:
+        return json.loads(head.rstrip().rstrip(",") + "}}" if vocabulary else text)
+    except ValueError:  # in another order
+        return json.loads(text)
+
+
 def _byte_letters() -> dict[int, int]:
     """The letters that byte-level vocabularies write bytes as: printable ones stand for themselves, others follow from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -27,7 +27,7 @@ SEED = 42
 #: Words and runs of punctuation.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: A word's number is remembered for so many words at a time.
-CACHE = 200_000
+CACHE = 100_000
 
 
 class _Numbers(dict):
