@@ -10,10 +10,16 @@ bands of ROWS minima each, all miss a pair of similarity s with a chance of
 
 A candidate whose fingerprints differ in more than APART bits is dropped (at 0.8
 some 12 are expected at most, with a deviation of 3). Every other one is verified on the whole sets.
+
+What these chances leave out is found without any loss by :func:`missed_links`.
+In a common order of all shingles, two sets of a similarity s share one of the
+first n - ceil(s n) + 1 of each. Such shingles that several of the components
+found so far hold give the pairs that are left to verify.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,12 @@ APART = 26
 GROUP, BLOCK = 32, 512
 #: Members whose sets are compared in place by a task.
 MEMBERS = 50_000
+#: Rows whose shingles tell which are common, about, and how many of these come last in the order. They change no result.
+SAMPLE, COMMON = 5_000, 1 << 16
+#: Least and most bits that hold the parity of a set's shingles: two sets differ in as many shingles at least as in these bits.
+PARITY, MOST_PARITY = 1 << 10, 1 << 20
+#: Bytes of a shingle's hash by which sets meet, and such keys in a task.
+KEY, KEYS = 5, 2_000_000
 #: The rows of so few documents are found by broadcasting their keys, some 3 MB; those of more by a join that moves all texts.
 FEW = 100_000
 
@@ -74,26 +86,70 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(bands[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """``id``, ``_k1``, ``_k2``, ``f`` (a hash of the set), ``n`` (its size), ``g`` (its SimHash), ``keys`` (of its bands), one row per row."""
+def prefix(s: np.ndarray, similarity: float, common: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, of which one is in the first of every similar set: rare ones first, then by their hashes.
+
+    ``common``, sorted, came so many ``times`` in a sample; others count as 0.
+    """
+    n = len(s)
+    k = n - max(1, math.ceil(similarity * n - 1e-6)) + 1
+    if not n or not len(common):
+        return s[: k if n else 0]
+    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
+    return s[np.argsort(np.where(common[at] == s, times[at], 0), kind="stable")[:k]]
+
+
+def parity(s: np.ndarray) -> bytes:
+    """The parity of how many shingles end with each value of some bits, as many values as shingles or more. Halves add up to that of a bit less."""
+    wide = min(max(PARITY, 1 << max(0, len(s) - 1).bit_length()), MOST_PARITY)
+    return np.packbits(np.bincount(s & (wide - 1), minlength=wide) & 1).tobytes()
+
+
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that come in several rows of a sample, sorted, and how often. They decide what is compared first, never what is found."""
+    part = max(1, docs.count() // SAMPLE)
+    source = docs.select(row_keys(id_col, text_col)[0], text_of(text_col).alias("t")).filter(F.pmod("_k1", F.lit(part)) == 0).select("t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [shingle_set(t.as_py(), words) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *s]))], names=["h"])
+
+    found = source.mapInArrow(run, "h long").groupBy("h").count().filter("count > 2").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    found.sort()
+    return np.array([r[0] for r in found], np.int64), np.array([r[1] for r in found], np.int64)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """``id``, ``_k1``, ``_k2``, ``f`` (a hash of the set), ``n`` (its size), ``g`` (its SimHash), ``keys`` (of its bands), ``prefix`` (KEY bytes each), ``parity``, one row per row."""
     source = docs.select(col(id_col).alias("id"), *row_keys(id_col, text_col), text_of(text_col).alias("t"))
     kind = source.schema["id"].dataType
     long = pa.int64()
-    out = pa.schema([("id", _arrow(kind)), ("_k1", long), ("_k2", long), ("f", long), ("n", long), ("g", long), ("keys", pa.list_(long))])
+    out = pa.schema([("id", _arrow(kind)), ("_k1", long), ("_k2", long), ("f", long), ("n", long), ("g", long), ("keys", pa.list_(long)), ("prefix", pa.binary()), ("parity", pa.binary())])
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, id_col, text_col, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f, n, g, keys = [], [], [], []
+            f, n, g, keys, first, bits = [], [], [], [], [], []
             for t in b.column(3):
                 s = shingle_set(t.as_py(), words)
                 f.append(xxhash.xxh64_intdigest(s.tobytes(), SEED))
                 n.append(len(s))
                 g.append(set_print(s))
                 keys.append(band_keys(s))
+                first.append(prefix(s, similarity, *common.value).view(np.uint8).reshape(-1, 8)[:, :KEY].tobytes())
+                bits.append(parity(s))
             made = [pa.array(np.array(f, np.uint64).view(np.int64)), pa.array(n, long), pa.array(g, long), pa.array(keys, pa.list_(long))]
+            made += [pa.array(first, pa.binary()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *made], schema=out)
 
-    return source.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, f long, n long, g long, keys array<long>")
+    return source.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, f long, n long, g long, keys array<long>, prefix binary, parity binary")
+
+
+def _distinct_sets(rows: DataFrame) -> DataFrame:
+    """``f``, ``least`` (its first row), ``n``, ``g``, ``keys`` and ``parity`` of each distinct set."""
+    least = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "_k1", "_k2"))
+    return materialise(rows.groupBy("f").agg(least.alias("least"), *[F.first(c).alias(c) for c in ("n", "g", "keys", "parity")]), "distinctsets")
 
 
 def _maybe(similarity: float) -> Column:
@@ -224,7 +280,7 @@ def _centres(members: DataFrame, group: int) -> DataFrame:
 def similar_links(
     docs: DataFrame, first: DataFrame, id_col: str, text_col: str, words: int, similarity: float, group: int = GROUP, block: int = BLOCK
 ) -> DataFrame:
-    """Links (a, b) between sets ``f`` of the similarity, which join all that candidates of the similarity join.
+    """Links (a, b) between sets ``f`` of the similarity that are candidates; :func:`missed_links` finds what isn't.
 
     In a group of more than ``block`` each set is compared with the group's
     centre; those that are similar stand behind it, and the others are compared
@@ -263,21 +319,172 @@ def similar_links(
     return out
 
 
+def _shared_keys(rows: DataFrame, of: DataFrame, parts: int) -> DataFrame:
+    """``k``, ``f``, ``c`` for the sets of all components ``c`` that hold a key, for each key of the sets' prefixes that several hold.
+
+    Keys move as arrays, some 13 bytes each.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            f, c = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 1))
+            raw = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, KEY) for x in b.column(2)]
+            if not raw:
+                continue
+            k = np.zeros((sum(map(len, raw)), 8), np.uint8)
+            k[:, :KEY] = np.concatenate(raw)
+            row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
+            part = (k.view(np.int64)[:, 0] % parts).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            held, begins = np.unique(part[order], return_index=True)
+            own = np.split(order, begins[1:])
+            arrays = [[k[x, :KEY].tobytes() for x in own], [f[row[x]].tobytes() for x in own], [(f ^ c)[row[x]].tobytes() for x in own]]
+            if len(held):
+                yield pa.RecordBatch.from_arrays([pa.array(held), *[pa.array(x, pa.binary()) for x in arrays]], names=["p", "k", "f", "d"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for p, *arrays in zip(*[x.to_pylist() for x in b.columns], strict=True):
+                held.setdefault(p, []).append(arrays)
+        for p in list(held):
+            raw, f, d = (b"".join(x) for x in zip(*held.pop(p), strict=True))
+            f = np.frombuffer(f, np.int64)
+            c = f ^ np.frombuffer(d, np.int64)
+            k = np.zeros((len(f), 8), np.uint8)
+            k[:, :KEY] = np.frombuffer(raw, np.uint8).reshape(-1, KEY)
+            k = k.view(np.int64)[:, 0]
+            order = np.lexsort((f, c, k))
+            k, f, c = k[order], f[order], c[order]
+            once = np.append(True, (np.diff(k) != 0) | (f[1:] != f[:-1]))
+            k, f, c = k[once], f[once], c[once]
+            begins = np.flatnonzero(np.append(True, np.diff(k) != 0))
+            ends = np.append(begins[1:], len(k))
+            there = np.repeat(c[begins] != c[ends - 1], ends - begins)  # sorted: the first and the last component differ
+            yield pa.RecordBatch.from_arrays([pa.array(x[there]) for x in (k, f, c)], names=["k", "f", "c"])
+
+    labelled = rows.select("f", "prefix").join(F.broadcast(of) if of.count() <= FEW else of, "f", "left")
+    dealt = labelled.select("f", F.coalesce("c", "f").alias("c"), "prefix").mapInArrow(deal, "p int, k binary, f binary, d binary")
+    return materialise(dealt.repartition(parts, "p").mapInArrow(meet, "k long, f long, c long"), "sharedkeys")
+
+
+def _possible(f: np.ndarray, c: np.ndarray, n: np.ndarray, parities: list[bytes], similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components that neither sizes nor parities rule out. Members of the largest component meet others alone."""
+    _, of, count = np.unique(c, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(of != count.argmax())
+    wide = np.array([len(x) for x in parities])
+    folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bits(width: int, rows: np.ndarray) -> np.ndarray:
+        """Parities of the width of those rows; wider ones are halved."""
+        if width not in folded:
+            there, made = np.flatnonzero(wide >= width), []
+            for r in there.tolist():
+                x = np.frombuffer(parities[r], np.uint64)
+                while 8 * len(x) > width:
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                made.append(x)
+            place = np.zeros(len(f), np.int64)
+            place[there] = np.arange(len(there))
+            folded[width] = place, np.stack(made)
+        place, made = folded[width]
+        return made[place[rows]]
+
+    apart = (1 - similarity) / (1 + similarity)
+    for begin in range(0, len(rest), 64):
+        i = rest[begin : begin + 64]
+        may = (c[i, None] != c[None, :]) & (np.minimum(n[i, None], n[None, :]) >= similarity * np.maximum(n[i, None], n[None, :]) - 1e-6)
+        x, y = np.nonzero(may)
+        x = i[x]
+        both = np.minimum(wide[x], wide[y])
+        for width in np.unique(both).tolist():
+            which = np.flatnonzero(both == width)
+            step = max(1, (1 << 23) // width)
+            for to in range(0, len(which), step):
+                u, v = x[which[to : to + step]], y[which[to : to + step]]
+                near = np.bitwise_count(bits(width, u) ^ bits(width, v)).sum(axis=1, dtype=np.int64) <= apart * (n[u] + n[v]) + 1e-6
+                if near.any():
+                    a, b = f[u[near]], f[v[near]]
+                    yield np.maximum(a, b), np.minimum(a, b)
+
+
+def missed_links(
+    rows: DataFrame, first: DataFrame, of: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, block: int = BLOCK
+) -> DataFrame:
+    """All links (a, b) of the similarity between sets of different components, ``of`` (``f``, ``c``); a set without a row there is its own.
+
+    No pair is left out, and none is written but those that neither its sizes nor
+    its parities rule out. Sets that share a key are compared in blocks of about ``block``.
+    """
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = first.agg(F.sum(F.col("n") * F.lit(1 - similarity) + F.lit(1))).first()[0] or 0
+    shared = _shared_keys(rows, of, max(1, least, int(keys) // KEYS))
+    blocks = materialise(shared.groupBy("k").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks")), "blocks")
+    own = F.pmod(F.xxhash64(F.lit(SEED), "f"), F.col("blocks")).cast("int")
+    placed = shared.join(blocks, "k").select("k", "f", "c", "blocks", own.alias("own")).join(first.select("f", "n", "parity"), "f")
+    met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "own").alias("i"), F.greatest(o, "own").alias("j")))
+    dealt = placed.select("k", "f", "c", "n", "parity", F.explode(met).alias("at")).select("k", "at.i", "at.j", "f", "c", "n", "parity")
+    parts = max(1, least, -(-shared.count() // MEMBERS))
+    dealt = dealt.repartition(parts, "k", "i", "j").sortWithinPartitions("k", "i", "j")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pairs(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            f, c, n = (np.concatenate([b.column(x).to_numpy(zero_copy_only=False) for b in group]) for x in (3, 4, 5))
+            if len(f) > 1:
+                parities = [x for b in group for x in b.column(6).to_pylist()]
+                for a, b in _possible(f, c, n, parities, similarity):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        key, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in range(3)])
+            begins = [0, *(np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for at, to in zip(begins[:-1], begins[1:], strict=True):
+                now = cell[:, at].tolist()
+                if now != key and held:
+                    yield from pairs(held)
+                    held = []
+                key = now
+                held.append(batch.slice(at, to - at))
+        if held:
+            yield from pairs(held)
+
+    found = materialise(dealt.mapInArrow(run, "a long, b long").distinct(), "missed")
+    return _verified(found, docs, first, text_col, id_col, words, similarity)
+
+
+def similar_components(
+    rows: DataFrame, first: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, similarity: float, group: int = GROUP, block: int = BLOCK
+) -> DataFrame:
+    """``f`` and its component ``c`` for all sets that have a link, no link of the similarity left out."""
+    linked = connected_components(similar_links(docs, first, id_col, text_col, words, similarity, group, block))
+    of = materialise(linked.select(F.col("node").alias("f"), F.col("component").alias("c")), "linked")
+    missed = missed_links(rows, first, of, docs, id_col, text_col, words, similarity, block)
+    if missed.isEmpty():
+        return of
+    label = lambda x: of.select(F.col("f").alias(x), F.col("c").alias(f"c{x}"))
+    between = missed.join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = connected_components(between).select(F.col("node").alias("c"), "component")
+    single = joined.select(F.col("c").alias("f"), "c").join(of, "f", "left_anti")
+    return of.unionAll(single).join(joined, "c", "left").select("f", F.coalesce("component", "c").alias("c"))
+
+
 def drop_similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY, group: int = GROUP, block: int = BLOCK
 ) -> DataFrame:
     """``docs`` with one document of each component of similar ones, that with the smallest id; all columns kept.
 
-    Links are all pairs of candidates of a Jaccard similarity of ``similarity`` or
-    more, or what joins the same documents: no component is parted.
+    Links are all pairs of a Jaccard similarity of ``similarity`` or more, or what
+    joins the same documents: no component is parted.
     Words are parted by ASCII blanks, A to Z count as lower case. Null text
     counts as empty, and documents without words are alike. A null id is larger
     than all others. Repeated rows stay once. An empty table gives an empty table.
     """
-    rows = materialise(_sets(docs, id_col, text_col, words), "shingled")
-    least = F.min(F.struct(F.col("id").isNull().alias("x"), "id", "_k1", "_k2"))
-    first = materialise(rows.groupBy("f").agg(least.alias("least"), F.first("n").alias("n"), F.first("g").alias("g"), F.first("keys").alias("keys")), "distinctsets")
-    linked = connected_components(similar_links(docs, first, id_col, text_col, words, similarity, group, block))
-    of = first.join(linked.withColumnRenamed("node", "f"), "f", "left").select("least", F.coalesce("component", "f").alias("c"))
+    rows = materialise(_sets(docs, id_col, text_col, words, similarity), "shingled")
+    first = _distinct_sets(rows)
+    linked = similar_components(rows, first, docs, id_col, text_col, words, similarity, group, block)
+    of = first.join(linked, "f", "left").select("least", F.coalesce("c", "f").alias("c"))
     keep = of.groupBy("c").agg(F.min("least").alias("least")).select("least._k1", "least._k2")
     return keep_rows(docs, keep, id_col, text_col, once=True)

@@ -71,6 +71,43 @@ def test_a_large_group_beside_a_common_passage(docs_of):
     assert sorted(x["doc_id"] for x in kept.collect()) == [0, *range(1000, 1200)]
 
 
+def test_a_pair_that_no_band_holds_is_found(docs_of):
+    """Four of five shingles are shared, by chance no band of minima, and the fingerprints differ in ten bits."""
+    words = [f"1605w{j}" for j in range(9)]
+    a, b = shingles.shingle_set(" ".join(words)), shingles.shingle_set(" ".join(words[:8]))
+    assert not set(shingles.band_keys(a).tolist()) & set(shingles.band_keys(b).tolist())
+    rows = [(1, " ".join(words)), (2, " ".join(words[:8])), (3, " ".join(words[:7])), (4, "something else")]
+    assert sorted(r["doc_id"] for r in shingles.drop_similar(docs_of(rows)).collect()) == [1, 3, 4]
+
+
+@pytest.mark.parametrize(("block", "similarity", "sample"), [(5, 0.8, 5000), (512, 0.8, 40), (512, 0.5, 5000)])
+def test_missed_links_are_all_links_where_none_is_known(spark, docs_of, monkeypatch, block, similarity, sample):
+    monkeypatch.setattr(shingles, "SAMPLE", sample)
+    docs = docs_of(corpus())
+    rows = shingles._sets(docs, "doc_id", "text", 5, similarity)
+    first = shingles._distinct_sets(rows)
+    none = spark.createDataFrame([], "f long, c long")
+    got = {(r["a"], r["b"]) for r in shingles.missed_links(rows, first, none, docs, "doc_id", "text", 5, similarity, block).collect()}
+    f = {r["id"]: r["f"] for r in rows.collect()}
+    sets = {f[i]: brute(t) for i, t in corpus()}
+    want = {(a, b) for a in sets for b in sets if a > b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9}
+    assert got == want and len(want) > 500
+
+
+def test_parities_rule_out_no_similar_pair():
+    """Pairs at the threshold pass, whatever their widths; those far below don't."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    random64 = lambda k: r.integers(-(2**63), 2**63, k, dtype=np.int64)
+    for n in (5, 100, 1100, 2200, 9000):
+        both, own = random64(8 * n // 10 + 1), random64(n - 8 * n // 10 - 1)
+        a, b, other = np.unique(both), np.unique(np.concatenate([both, own])), np.unique(np.concatenate([both[: n // 2], random64(n - n // 2)]))
+        found = shingles._possible(np.array([3, 1, 2]), np.array([3, 1, 2]), np.array([len(x) for x in (a, b, other)]), [shingles.parity(x) for x in (a, b, other)], 0.8)
+        pairs = {(int(x), int(y)) for left, right in found for x, y in zip(left, right, strict=True)}
+        assert (3, 1) in pairs and (n == 5 or pairs == {(3, 1)}), n
+
+
 def test_the_stage_takes_what_simhash_let_pass(docs_of):
     words = [f"w{j}" for j in range(200)]
     other = [*words[:60], "edit", *words[61:140], "edit", *words[141:]]
