@@ -82,7 +82,7 @@ def hashed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [numbers(t).astype("<u2").tobytes() for t in b.column(3).to_pylist()]
+            words = [numbers(t.as_py()).astype("<u2").tobytes() for t in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(words, pa.binary())], schema=schema)
 
     return materialise(source.mapInArrow(run, f"id {kind.simpleString()}, _k1 long, _k2 long, words binary"), "words")

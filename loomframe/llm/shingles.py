@@ -46,6 +46,8 @@ SAMPLE, COMMON = 5_000, 1 << 16
 PARITY, MOST_PARITY = 1 << 10, 1 << 20
 #: Bytes of a shingle's hash by which sets meet, and such keys in a task.
 KEY, KEYS = 5, 2_000_000
+#: Rows whose keys are dealt out at a time.
+ROWS_DEALT = 2048
 #: The rows of so few documents are found by broadcasting their keys, some 3 MB; those of more by a join that moves all texts.
 FEW = 100_000
 
@@ -326,11 +328,9 @@ def _shared_keys(rows: DataFrame, of: DataFrame, parts: int) -> DataFrame:
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(at, ROWS_DEALT) for batch in batches for at in range(0, batch.num_rows, ROWS_DEALT)):
             f, c = (b.column(x).to_numpy(zero_copy_only=False) for x in (0, 1))
             raw = [np.frombuffer(x.as_buffer(), np.uint8).reshape(-1, KEY) for x in b.column(2)]
-            if not raw:
-                continue
             k = np.zeros((sum(map(len, raw)), 8), np.uint8)
             k[:, :KEY] = np.concatenate(raw)
             row = np.repeat(np.arange(len(raw)), [len(x) for x in raw])
@@ -399,7 +399,7 @@ def _possible(f: np.ndarray, c: np.ndarray, n: np.ndarray, parities: list[bytes]
         both = np.minimum(wide[x], wide[y])
         for width in np.unique(both).tolist():
             which = np.flatnonzero(both == width)
-            step = max(1, (1 << 23) // width)
+            step = max(1, (1 << 21) // width)
             for to in range(0, len(which), step):
                 u, v = x[which[to : to + step]], y[which[to : to + step]]
                 near = np.bitwise_count(bits(width, u) ^ bits(width, v)).sum(axis=1, dtype=np.int64) <= apart * (n[u] + n[v]) + 1e-6
